@@ -5,17 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import simhash
+from corpuscle.llm import backoff, decontaminate, linecrf, mixing, secrets, simhash
 from corpuscle.plans.runtime import table
 
 
+def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), "text")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op4_line_crf_quality,
+        op5_simhash_near_dedup,
+        op6_secret_scan,
+        op7_stupid_backoff,
+        op9_source_mixing,
+        op10_benchmark_decontamination,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_secret_scan": secrets.ORACLE,
+    "op7_stupid_backoff": backoff.ORACLE,
+    "op9_source_mixing": mixing.oracle(columns="doc_id, source, copy, text"),
+}
