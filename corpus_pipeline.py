@@ -1,15 +1,67 @@
-"""Five stages over the documents, each on all that the one before it kept."""
+"""Five stages over the documents, each on all that the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars); the last one adds copy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.llm import decontaminate, linecrf, mixing, secrets, simhash
+from corpuscle.plans.runtime import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _measured(docs: DataFrame, changed: str) -> DataFrame:
+    """COLUMNS of docs, n_chars counted anew where the text has changed."""
+    return docs.withColumn("n_chars", F.when(F.col(changed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field over lines rates as bad go."""
+    return linecrf.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.deduplicate(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; a document of which nothing is left goes."""
+    cleaned = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _measured(cleaned.where("__words = 0 OR length(trim(text)) > 0"), "__words")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return _measured(secrets.mask(docs), "__secrets")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are dropped or repeated to the target weights of their sources; copy counts from 1."""
+    return mixing.mix(docs).select(*COLUMNS, F.col("__copy").alias("copy"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("mixing sources", mixture),
+]
 
-STAGES: list = []
+#: The field's training and the graphs' components are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents. What a stage kept is cut in the shared folder: the next ones read it several times."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs

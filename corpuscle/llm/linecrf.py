@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.kernels import BASE, BYTE_CODE, U, _grown, blocks, mix, raw, texts
+from corpuscle.llm.kernels import BASE, U, Words, blocks, mix, texts
 from corpuscle.plans.runtime import ship
 
-#: Labelled documents of each label that the field is trained on, at most.
-TRAIN_DOCS = 1500
+#: Labelled documents that the field is trained on, at most.
+TRAIN_DOCS = 3000
 THRESHOLD = 0.5
 
 _KINDS = 9
@@ -40,7 +40,8 @@ class Lines:
     """Lines of a block: their rows, lengths in bytes, and features. Lines of white space alone are left out."""
 
     def __init__(self, strings: pa.Array):
-        body, bounds = raw(strings)
+        found = Words(strings, lower=False)
+        body, bounds = found.body, found.bounds
         n = len(body)
         breaks = np.flatnonzero(body == 10)
         starts = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
@@ -58,15 +59,21 @@ class Lines:
         self.row = np.searchsorted(bounds, starts, side="right") - 1
         self.size = size
         self.first = np.searchsorted(self.row, np.arange(len(bounds)))
-        # Repetition: whether an earlier line of the document is the same.
-        power, inverse = _grown(n + 1)
+        # Repetition: whether an earlier line of the document has the same words, and words that equal the one before.
+        h = found.hashes()
+        line = np.searchsorted(starts, found.starts, side="right") - 1
+        again = np.zeros(len(h))
+        again[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+        words = np.bincount(line, minlength=len(starts)).astype(np.float64)
+        stutter = np.bincount(line, weights=again, minlength=len(starts)) / np.maximum(words, 1)
         with np.errstate(over="ignore"):
-            prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(BYTE_CODE[body] * power[:n], out=prefix[1:])
-            h = mix(mix((prefix[ends] - prefix[starts]) * inverse[starts]) + self.row.astype(np.uint64) * U(BASE))
-        repeated = np.ones(len(h))
-        repeated[np.unique(h, return_index=True)[1]] = 0
-        words = counts[:, 3] + 1
+            place = (np.arange(len(h)) - np.searchsorted(line, line)).astype(np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + place * U(BASE)))])
+            ends_ = np.cumsum(words).astype(np.int64)
+            key = mix(sums[ends_] - sums[ends_ - words.astype(np.int64)] + self.row.astype(np.uint64) * U(BASE))
+        repeated = (words > 0).astype(np.float64)
+        repeated[np.unique(key, return_index=True)[1]] = 0
+        words = np.maximum(words, 1)
         letters = counts[:, 0] + counts[:, 1] + counts[:, 8]
         share = counts / np.maximum(size, 1)[:, None]
         self.own = np.column_stack(
@@ -76,6 +83,7 @@ class Lines:
                 np.minimum(np.log1p(size) / 8, 2),
                 np.minimum(size / words / 12, 3),
                 repeated,
+                stutter,
                 np.minimum((counts[:, 5] + counts[:, 6] + counts[:, 7]) / words, 3),
                 np.minimum(counts[:, 4] / words, 2),
             ]
@@ -92,8 +100,8 @@ class Lines:
         return np.column_stack([own, own * own, before, after, np.ones(len(own))])
 
 
-def marginals(emission: np.ndarray, transition: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line and, summed over all, expected transitions; emission: scores of good less bad."""
+def marginals(emission: np.ndarray, transition: np.ndarray, first: np.ndarray, count: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line and, if count, the sum of expected transitions; emission: scores of good less bad."""
     n = len(emission)
     lengths = np.diff(first)
     docs = np.argsort(-lengths, kind="stable")
@@ -113,6 +121,8 @@ def marginals(emission: np.ndarray, transition: np.ndarray, first: np.ndarray) -
         at = starts[: active[t + 1]] + t
         ahead = e[at + 1] + beta[at + 1]
         beta[at] = norm(step(ahead, transition.T))
+        if not count:
+            continue
         joint = alpha[at][:, :, None] + transition[None] + ahead[:, None, :]
         joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
         pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
@@ -127,8 +137,8 @@ class LineField:
         self.weights, self.transition = weights, transition
 
     @staticmethod
-    def train(strings: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> "LineField":
-        """Penalised maximum likelihood by full-batch Adam. Documents of each label weigh equally in sum, whatever their lines."""
+    def train(strings: pa.Array, labels: np.ndarray, rounds: int = 80, rate: float = 0.3, ridge: float = 1e-4) -> "LineField":
+        """Penalised maximum likelihood by full-batch Adam."""
         lines = Lines(strings)
         x, y = lines.features(), labels[lines.row].astype(np.float64)
         weights, transition = np.zeros(x.shape[1]), np.zeros((2, 2))
@@ -139,7 +149,7 @@ class LineField:
         np.add.at(seen, (a, b), 1)
         moment, square = np.zeros(len(weights) + 4), np.zeros(len(weights) + 4)
         for r in range(1, rounds + 1):
-            p, pairs = marginals(x @ weights, transition, lines.first)
+            p, pairs = marginals(x @ weights, transition, lines.first, True)
             slope = np.concatenate([x.T @ (y - p) / n - ridge * weights, (seen - pairs).ravel() / n - ridge * transition.ravel()])
             moment = 0.9 * moment + 0.1 * slope
             square = 0.99 * square + 0.01 * slope * slope
@@ -159,13 +169,14 @@ class LineField:
         return quality, n, np.rint(total(p >= 0.5)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> LineField | None:
-    """A field from at most per_label documents of each quality 0 and 1; None if a label has none.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineField | None:
+    """A field from at most train_docs documents of quality 0 or 1; None if one of the labels has none among them.
 
-    Those of the least hashes of doc_id are taken: the same ones at each run, from all parts of the table.
+    Those of the least hashes of doc_id are taken: the same ones at each run, from all parts of the table, and both
+    labels in the proportion that they have.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__quality")).distinct()
-    sample = known.where("__quality = 0").orderBy(F.xxhash64("__id")).limit(per_label).union(known.where("__quality = 1").orderBy(F.xxhash64("__id")).limit(per_label))
+    sample = known.orderBy(F.xxhash64("__id"), "__quality").limit(train_docs)
     some = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(sample), "__id").where("length(__text) > 0")
     found = some.select("__text", "__quality").orderBy("__quality", F.xxhash64("__text")).toArrow()
     y = found["__quality"].to_numpy()
@@ -202,22 +213,22 @@ def score(docs: DataFrame, field: LineField | None) -> DataFrame:
     return docs.mapInArrow(_apply(spark.sparkContext.broadcast(field)), schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_label: int = TRAIN_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, quality, n_lines, n_good, keep) for each row of docs; keep: quality is threshold or more.
 
     A null, empty or blank text has a null quality and isn't kept. Without labelled documents of both kinds there is no
     field: quality is null and every text with a letter is kept. Repeated rows score alike; a null doc_id stays null; labels
     of ids that docs lacks are ignored, and a doc_id with both labels counts once for each. Other columns don't matter.
     """
-    field = fit(docs, labels, per_label)
+    field = fit(docs, labels, train_docs)
     scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), field)
     keep = F.coalesce(F.col("__quality") >= threshold, F.lit(False)) if field else F.coalesce(F.length(F.trim("text")) > 0, F.lit(False))
     return scored.select("doc_id", F.col("__quality").alias("quality"), F.col("__lines").alias("n_lines"), F.col("__good").alias("n_good"), keep.alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_label: int = TRAIN_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs that classify() keeps, with their own columns."""
-    field = fit(docs, labels, per_label)
+    field = fit(docs, labels, train_docs)
     if field is None:
         return docs.where("length(trim(text)) > 0")
     return score(docs, field).where(F.col("__quality") >= threshold).drop("__quality", "__lines", "__good")

@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import backoff, decontaminate, linecrf, mixing, secrets, simhash
+from corpuscle.llm import backoff, decontaminate, ivfpq, langspans, linecrf, mixing, pseudonyms, secrets, simhash, urltrees
 from corpuscle.plans.runtime import table
 
 
+def op1_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrees.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +39,10 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langspans.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), "text")
@@ -39,10 +55,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ivfpq_neighbours,
+        op2_url_filter,
+        op3_pii_pseudonyms,
         op4_line_crf_quality,
         op5_simhash_near_dedup,
         op6_secret_scan,
         op7_stupid_backoff,
+        op8_language_spans,
         op9_source_mixing,
         op10_benchmark_decontamination,
     )
