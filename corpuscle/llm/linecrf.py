@@ -139,17 +139,19 @@ class LineField:
     @staticmethod
     def train(strings: pa.Array, labels: np.ndarray, rounds: int = 80, rate: float = 0.3, ridge: float = 1e-4) -> "LineField":
         """Penalised maximum likelihood by full-batch Adam."""
-        lines = Lines(strings)
-        x, y = lines.features(), labels[lines.row].astype(np.float64)
+        parts = [(a, Lines(strings.slice(a, b - a))) for a, b in blocks(strings)]
+        row = np.concatenate([p.row + a for a, p in parts])
+        first = np.searchsorted(row, np.arange(len(strings) + 1))
+        x, y = np.concatenate([p.features() for _, p in parts]), labels[row].astype(np.float64)
         weights, transition = np.zeros(x.shape[1]), np.zeros((2, 2))
         n = max(1, len(y))
-        same = (lines.row[1:] == lines.row[:-1]) if n > 1 else np.zeros(0, bool)
+        same = (row[1:] == row[:-1]) if n > 1 else np.zeros(0, bool)
         seen = np.zeros((2, 2))
         a, b = y[:-1][same].astype(int), y[1:][same].astype(int)
         np.add.at(seen, (a, b), 1)
         moment, square = np.zeros(len(weights) + 4), np.zeros(len(weights) + 4)
         for r in range(1, rounds + 1):
-            p, pairs = marginals(x @ weights, transition, lines.first, True)
+            p, pairs = marginals(x @ weights, transition, first, True)
             slope = np.concatenate([x.T @ (y - p) / n - ridge * weights, (seen - pairs).ravel() / n - ridge * transition.ravel()])
             moment = 0.9 * moment + 0.1 * slope
             square = 0.99 * square + 0.01 * slope * slope
