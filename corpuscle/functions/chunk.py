@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpuscle.config import SETTINGS
+from corpuscle.plans.runtime import ship
 
 #: A sentence's end: a stop after a lower-case word, then white space and a capital, digit or quote.
 SENTENCE = re.compile(r"(?<=[a-z0-9)\"'])[.!?]+[\"')]*\s+(?=[A-Z0-9\"'(])")
@@ -37,10 +38,9 @@ def split_text(text: str, n: float) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
 
-@F.pandas_udf("array<string>")
-def _split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: split_text(t, math.ceil(len(t) / SETTINGS.chunk_chars)))
+@F.pandas_udf(ArrayType(StringType()))
+def _split(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([split_text(t, n) for t, n in zip(texts, parts)])
 
 
 def chunked(corpus: DataFrame, chunk_chars: int | None = None) -> DataFrame:
@@ -48,13 +48,10 @@ def chunked(corpus: DataFrame, chunk_chars: int | None = None) -> DataFrame:
 
     Only texts that are longer pass through Python.
     """
+    ship(corpus.sparkSession)
     limit = chunk_chars or SETTINGS.chunk_chars
     parts = F.ceil(F.length("text") / F.lit(limit))
     some = corpus.where("length(text) > 0")
     short = some.where(F.length("text") <= limit).select("doc_id", F.lit(0).alias("chunk_id"), "text")
-    if limit == SETTINGS.chunk_chars:
-        pieces = _split(F.col("text"))
-    else:
-        pieces = F.pandas_udf(lambda s, n: pd.Series([split_text(t, k) for t, k in zip(s, n)]), "array<string>")(F.col("text"), parts.cast("long"))
-    long = some.where(F.length("text") > limit).select("doc_id", F.posexplode(pieces).alias("chunk_id", "text"))
+    long = some.where(F.length("text") > limit).select("doc_id", F.posexplode(_split(F.col("text"), parts.cast("long"))).alias("chunk_id", "text"))
     return short.unionByName(long).withColumn("text", F.concat(F.regexp_replace("text", "^\\s+|\\s+$", ""), F.lit(" ")))

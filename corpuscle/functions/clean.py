@@ -47,8 +47,9 @@ def to_ascii(text: Column) -> Column:
     """Compatibility decomposition (NFKD), then ASCII alone. Texts that are ASCII already pass as they are."""
     one, to, many = decompositions()
     single = F.regexp_replace(F.translate(text, one, to), "[^\\x00-\\x7F]", "")
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    # One literal, folded to a map on the driver: thousands of nodes would slow the planning of every query.
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c < F.lit("\x80"), c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
     wide = F.regexp_replace(F.translate(spelled, one, to), "[^\\x00-\\x7F]", "")
     # A character of several is looked for by a hashed translation: a class of a thousand characters is a slow pattern.
     some = F.length(F.translate(text, "".join(many), "")) < F.length(text)

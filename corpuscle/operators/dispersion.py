@@ -37,14 +37,13 @@ def dispersions_table(tokens: DataFrame, count_by: str = "pos") -> DataFrame:
     apart = cells.join(sums.select("Token", "Tag", "f"), ["Token", "Tag"]).groupBy("Token", "Tag").agg(F.sum(F.abs(v / F.col("f") - share)).alias("apart"))
     x = sums.join(apart, ["Token", "Tag"]).crossJoin(F.broadcast(all_))
     spread = F.greatest(F.expr("r2 / n - pow(r1 / n, 2)"), F.lit(0.0))
-    uneven = F.greatest(F.expr("vv - f * f / n"), F.lit(0.0))
     one = F.col("n") == 1
     dp = 0.5 * (F.col("apart") + 1.0 - F.col("ss"))
     return x.select(
         "Token", "Tag", F.col("f").cast("long").alias("AF"), (F.col("f") / F.col("total") * 1e6).alias("RF"),
         F.when(one, F.lit(NAN)).otherwise(F.try_divide(F.expr("log2(f) - vlog / f"), F.log2("n"))).alias("Carrolls_D2"),
         (F.pow("root", F.lit(2)) / F.col("f")).alias("Rosengrens_S"),
-        (1.0 - uneven / F.expr("f / n") / (4.0 * F.col("f"))).alias("Lynes_D3"),
+        F.expr("1.0e0 - (n * vv - f * f) / (4.0e0 * f * f)").alias("Lynes_D3"),
         F.expr("pow(roots / n, 2) / (f / n)").alias("DC"),
         F.when(one, F.lit(NAN)).otherwise(1.0 - F.try_divide(F.sqrt(spread) / F.expr("r1 / n"), F.sqrt(F.col("n") - 1))).alias("Juillands_D"),
         dp.alias("DP"), F.coalesce(F.try_divide(dp, 1.0 - F.col("least") / F.col("total")), F.lit(NAN)).alias("DP_norm"),

@@ -135,10 +135,10 @@ f AS (SELECT "Token", "Tag", sum(v) AS f, sum(v / s) AS r, count(*) AS k FROM ce
 m AS (SELECT "Token", "Tag", f, k, n, total, least, r / n AS rm, f / n AS vm FROM f CROSS JOIN t),
 d AS (
   SELECT "Token", "Tag", any_value(f) AS f, any_value(n) AS n, any_value(total) AS total, any_value(least) AS least, any_value(rm) AS rm, any_value(vm) AS vm, any_value(k) AS k,
-    sum(v * log2(v)) AS vlog, sum(sqrt(v * s)) AS root, sum(sqrt(v)) AS roots, sum((v - vm) * (v - vm)) AS vv, sum((v / s - rm) * (v / s - rm)) AS rr, sum(abs(v / f - s)) AS dev, sum(s) AS ss
+    sum(v * log2(v)) AS vlog, sum(sqrt(v * s)) AS root, sum(sqrt(v)) AS roots, sum(v * v) AS vsq, sum((v / s - rm) * (v / s - rm)) AS rr, sum(abs(v / f - s)) AS dev, sum(s) AS ss
   FROM cells JOIN m USING ("Token", "Tag") GROUP BY ALL)
 SELECT "Token", "Tag", f::BIGINT AS "AF", round(f / total * 1000000.0::DOUBLE, 6) AS "RF", round((log2(f) - vlog / f) / log2(n), 6) + 0.0::DOUBLE AS "Carrolls_D2", round(root * root / f, 6) AS "Rosengrens_S",
-  round(1 - (vv + (n - k) * vm * vm) / vm / (4 * f), 6) + 0.0::DOUBLE AS "Lynes_D3", round((roots / n) * (roots / n) / vm, 6) AS "DC",
+  round(1 - (n * vsq - f * f) / (4 * f * f), 6) + 0.0::DOUBLE AS "Lynes_D3", round((roots / n) * (roots / n) / vm, 6) AS "DC",
   round(1 - sqrt((rr + (n - k) * rm * rm) / n) / rm / sqrt(n - 1), 6) + 0.0::DOUBLE AS "Juillands_D", round(0.5 * (dev + 1 - ss), 6) + 0.0::DOUBLE AS "DP", round(0.5 * (dev + 1 - ss) / (1 - least / total), 6) AS "DP_norm" FROM d"""
 
 
