@@ -1,0 +1,67 @@
+"""Incremental entropies against plain ones; scans against a scan by regular expression."""
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from corpuscle.llm import secrets as s
+
+
+def entropy(window):
+    return -sum(n / len(window) * math.log2(n / len(window)) for n in Counter(window).values())
+
+
+def test_incremental_entropy():
+    r = np.random.default_rng(1)
+    for n in (20, 21, 64, 200):
+        run = bytes(r.choice(list(b"abcdef0123"), n).tolist())
+        assert abs(s.highest_entropy(run) - max(entropy(run[i : i + 20]) for i in range(n - 19))) < 1e-9
+
+
+def plain(text):
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/=_-]{20,}", text or ""):
+        c = m.group()
+        if not re.search("[0-9]", c) or any(re.search(p, c) for p in s.ALLOWED):
+            continue
+        for kind, (runs, kinds, threshold) in s.CLASSES.items():
+            best = max((entropy(r[i : i + 20]) for r in runs.findall(c.encode()) if all(re.search(k, r) for k in kinds) for i in range(len(r) - 19)), default=0)
+            if best >= threshold:
+                out.append((kind, len(c), round(best, 6)))
+                break
+    return out
+
+
+KEY = "aK9x2LmQ7rTz4WvB8nYc1PdE"
+TEXTS = [
+    f"key={KEY} and more", KEY, KEY + "9", "d41d8cd98f00b204e9800998ecf8427e", "550e8400-e29b-41d4-a716-446655440000", "sha256-" + KEY, "example" + KEY,
+    "aaaaaaaaaaaaaaaaaaaa1", "https://site.org/a/very/long/path/with/words/2024", None, "", "x" * 300_000 + " " + KEY, "é" + KEY + "é", KEY + " " + KEY, "0123456789abcdef0123456789abcdef",
+]
+
+
+def test_against_plain_scan(spark):
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(TEXTS)] + [(None, KEY, "c")], "doc_id long, text string, kind string")
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["kind"], r["length"], r["entropy"]) for r in s.findings(df).collect())
+    assert got == sorted((i, *x) for i, t in [*enumerate(TEXTS), (-1, KEY)] for x in plain(t))
+    assert any(g[0] == 0 for g in got) and not any(g[0] in (4, 5, 6, 7, 8) for g in got)
+    assert s.findings(df.where("false")).count() == 0
+
+
+def test_rows_that_touch():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        texts = ["".join(r.choice(list("aB3+ /é"), int(r.integers(0, 60)))) for _ in range(12)]
+        found = s.scan(pa.array(texts))
+        assert sorted((x[0], x[3], x[2] - x[1], x[4]) for x in found) == sorted((i, *x) for i, t in enumerate(texts) for x in plain(t))
+
+
+def test_mask(spark):
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)], "doc_id long, text string, __secrets int")
+    out = {r["doc_id"]: r for r in s.mask(df).collect()}
+    assert out[0]["text"] == "[SECRET] and more"
+    assert out[13]["text"] == "[SECRET] [SECRET]" and out[13]["__secrets"] == 2 and out[12]["text"] == "é[SECRET]é"
+    assert out[9]["text"] is None and out[10]["text"] == "" and out[8]["text"] == TEXTS[8]
+    assert s.mask(df.where("false")).count() == 0
