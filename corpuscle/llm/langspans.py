@@ -178,7 +178,7 @@ def _apply(model, switch: float):
                 head = np.ones(len(path), bool)
                 head[1:] = (path[1:] != path[:-1]) | (w.row[1:] != w.row[:-1])
                 at = np.flatnonzero(head)
-                stop = np.append(at[1:], len(path))
+                stop = np.append(at[1:], len(path))[: len(at)]
                 row = w.row[at]
                 # Characters, not bytes: those that don't go on a character.
                 chars = np.concatenate([[0], np.cumsum((plain.body & 0xC0) != 0x80)])
