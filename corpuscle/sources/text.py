@@ -25,7 +25,7 @@ def get_text_paths(spark: SparkSession, directory: str, recursive: bool = False)
 
 def _decoded(files: DataFrame) -> DataFrame:
     """(doc_id, text) of files (path, content): UTF-8, or Latin-1 where that isn't valid; the file's name is the id."""
-    content = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    content = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("doc_id"), F.regexp_replace(content, "^\\s+|\\s+$", "").alias("text"))
 
 
