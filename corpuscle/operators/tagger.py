@@ -83,7 +83,8 @@ class RuleTagger:
     """The built-in rules: a document's tokens are exploded with their neighbours, and the lexicon, a fixed hundred words,
     is joined by broadcast."""
 
-    def tag(self, corpus: DataFrame) -> DataFrame:
+    def tag(self, corpus: DataFrame, before: bool = False) -> DataFrame:
+        """Raw tokens, with before also the word before each (in lower case), which streams can't get by a window."""
         # Texts are shuffled by document before they are exploded: less than the tokens would be, and windows and groups
         # of a document's tokens then need no shuffle of their own.
         texts = corpus.where("text IS NOT NULL").repartition("doc_id")
@@ -95,7 +96,7 @@ class RuleTagger:
         lexicon = corpus.sparkSession.createDataFrame(_lexicon(), "w string, lex_pos string, lex_ds string")
         at = {"w": "w", "n": "n", "p": "p"}
         tagged = near.join(F.broadcast(lexicon), "w", "left")
-        return tagged.select("doc_id", "tok_idx", "token", "ws", F.expr(_POS_RULES.format(**at)).alias("pos_tag"), F.expr(_DS_RULES.format(**at)).alias("ds_tag"))
+        return tagged.select("doc_id", "tok_idx", "token", "ws", F.expr(_POS_RULES.format(**at)).alias("pos_tag"), F.expr(_DS_RULES.format(**at)).alias("ds_tag"), *([F.col("p").alias("before")] if before else []))
 
 
 class FunctionTagger:

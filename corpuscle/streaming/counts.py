@@ -20,11 +20,12 @@ def tag_stream(documents: DataFrame) -> DataFrame:
     """(Tag, AF): running counts over a stream (or table) of documents (doc_id, text), for update or complete mode.
 
     Tagging is a projection of each document and counts are sums, so the state has one row a tag. A possessive s after
-    it is known within its document alone, as its array of tokens.
+    it is known by the word before it, which the tagger hands on.
     """
     texts = clean_corpus(documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    t = RuleTagger().tag(texts.withColumn("text", F.regexp_replace("text", "(?i)\\bit s\\b", "it 0s0")))
-    own = t.where(~F.col("pos_tag").rlike(_GOES_ON)).withColumn("Tag", F.regexp_replace("pos_tag", "[0-9][0-9]$", ""))
+    t = RuleTagger().tag(texts, before=True)
+    possessive = (F.lower("token") == "s") & (F.col("before") == "it")
+    own = t.where(~F.col("pos_tag").rlike(_GOES_ON)).withColumn("Tag", F.when(possessive, "GE").otherwise(F.regexp_replace("pos_tag", "[0-9][0-9]$", "")))
     return own.where(is_word("pos", "Tag")).groupBy("Tag").agg(F.count("*").alias("AF"))
 
 
