@@ -26,6 +26,7 @@ ALPHA = 0.4
 BATCH_WORDS = 1_500_000
 #: Words of text for each partition of the count tables; about two n-grams a word travel.
 PARTITION_WORDS = 2_500_000
+BYTES_A_WORD = 6  # about; only the number of partitions depends on it
 
 _CODEC = "zstd"
 
@@ -174,6 +175,12 @@ def _own(gram: np.ndarray, there: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_words of each batch. As a function of whole rows, so that it reads the exchange that the others read, not a narrower one."""
+    for batch in batches:
+        yield batch.select(["n_words"])
+
+
 def _score(alpha: float):
     def run(key, batch: pa.Table, answers: pa.Table) -> pa.Table:
         rows = batch.to_pylist()
@@ -227,7 +234,7 @@ def _score(alpha: float):
 _SCORE = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_trigram", pa.int64()), ("n_bigram", pa.int64()), ("log10_score", pa.float64()), ("mean_log10", pa.float64())]
 
 
-def score_documents(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = ALPHA, stable: bool = False) -> DataFrame:
     """(doc_id, n_words, n_trigram, n_bigram, log10_score, mean_log10): one row for each row of docs (doc_id: BIGINT, text).
 
     A word after two others scores c(uvw)/c(uv) if c(uvw) > 0, else alpha*c(vw)/c(v) if c(vw) > 0, else alpha^2*c(w)/N; the
@@ -236,15 +243,23 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     A null, empty or wordless text has n_words 0 and null scores. Repeated rows are documents of their own, that vouch
     for each other; a null doc_id stays null. An empty table gives no rows. Other columns of docs don't matter.
+
+    stable: docs come in the same order whenever they are read, as the rows of a table of files do. Then batches can be made
+    again after a loss, and are only shuffled, which saves their copy in the shared folder; else they are cut first.
     """
     spark = ship(docs.sparkSession)
-    packed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_batches, _BATCH))
-    total = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("corpus"))
-    words = total.first()[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packed = rows.mapInArrow(_batches, _BATCH)
+    if stable:
+        packed = packed.repartition("batch")  # one exchange, that all that follows reads
+        words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WORD
+    else:
+        packed = cut(packed)
+        words = packed.agg(F.sum("n_words")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PARTITION_WORDS))
     requests = packed.mapInArrow(_requests(partitions), "partition int, batch long, n_gram int, hashes binary, counts binary, n long")
     answers = requests.repartition(partitions, "partition").sortWithinPartitions("partition").mapInArrow(_totals, "batch long, n_gram int, partition int, totals binary, n long")
-    answers = answers.withColumn("corpus", F.lit(words).cast("long"))
+    answers = answers.crossJoin(F.broadcast(packed.mapInArrow(_lengths, "n_words long").agg(F.sum("n_words").alias("corpus"))))  # one row
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(alpha), "doc_id long, n_words long, n_trigram long, n_bigram long, log10_score double, mean_log10 double")
 
 

@@ -36,7 +36,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score_documents(table(spark, sf_dir, "documents"))
+    return backoff.score_documents(table(spark, sf_dir, "documents"), stable=True)
 
 
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

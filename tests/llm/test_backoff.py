@@ -35,14 +35,14 @@ def plain(texts, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("batch", [40, 1_500_000])
-def test_against_plain_counts(spark, monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "stable"), [(40, False), (40, True), (1_500_000, True)])
+def test_against_plain_counts(spark, monkeypatch, batch, stable):
     monkeypatch.setattr(backoff, "BATCH_WORDS", batch)
     r = np.random.default_rng(1)
     texts = [" ".join(r.choice(list("abcdefgh"), int(r.integers(0, 60)))) for _ in range(60)]
     texts += [None, "", "!!", "unique words alone", texts[0], "Ä ä ß", "one", "one two"]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
-    got = {r["doc_id"]: r for r in backoff.score_documents(df).collect()}
+    got = {r["doc_id"]: r for r in backoff.score_documents(df, stable=stable).collect()}
     assert len(got) == len(texts)
     for i, (n, tri, bi, score) in enumerate(plain(texts)):
         assert (got[i]["n_words"], got[i]["n_trigram"], got[i]["n_bigram"]) == (n, tri, bi)
