@@ -1,9 +1,11 @@
 """Secret scans by sliding-window Shannon entropy.
 
-Candidates are the maximal runs of the bytes of base64 and its URL form, LEAST or more, that hold a digit; they are found
-by vectorised comparison. For each class of characters, a window slides over the candidate's runs of that class; its
+Candidates are the maximal runs of the bytes of base64 and its URL form, SHORTEST or more, that hold a digit; they are
+found by vectorised comparison. For each class of characters, a window slides over the candidate's runs of that class; its
 entropy is kept up by adding one character's count and subtracting another's. A run is a secret if a window reaches
 the class's threshold and the run mixes kinds of characters, and no pattern of the allow-list is found in the candidate.
+A run shorter than WINDOW is one window of its own length, and its threshold is less as the highest entropy is. Most of it
+must be in parts between = / _ - that mix digits and letters, else dates and numbered headings would be secrets.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from corpuscle.plans.runtime import ship
 
 WINDOW = 20
 LEAST = WINDOW
+SHORTEST = 12
 #: class: (its runs, kinds of characters a run must have, threshold in bits of a window's entropy)
 CLASSES = {
     "hex": (re.compile(rb"[0-9a-fA-F]{20,}"), (rb"[0-9]", rb"[a-fA-F]"), 2.8),
     "base64": (re.compile(rb"[A-Za-z0-9+/=_-]{20,}"), (rb"[0-9]", rb"[a-z]", rb"[A-Z]"), 3.6),
+    "upper": (re.compile(rb"[A-Z0-9]{20,}"), (rb"[0-9]", rb"[A-Z]"), 3.4),
+    "lower": (re.compile(rb"[a-z0-9]{20,}"), (rb"[0-9]", rb"[a-z]"), 3.5),
 }
 #: Identifiers that are public by nature, and stand-ins of documentation.
 ALLOWED = (
@@ -42,11 +47,15 @@ _BYTE = np.zeros(256, bool)
 _BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(b"0123456789")] = True
+#: Maximal runs of SHORTEST bytes or more, of each class.
+_RUNS = {name: re.compile(runs.pattern.replace(b"{20,}", b"{%d,}" % SHORTEST)) for name, (runs, _, _) in CLASSES.items()}
+_UUID = re.compile(ALLOWED[0].strip("^$").encode())
+_PARTS = re.compile(rb"[A-Za-z0-9+]+")
 _N_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
-def highest_entropy(run: bytes) -> float:
-    """The highest entropy, in bits, of the windows of run (of WINDOW bytes at least)."""
+def highest_entropy(run: bytes, window: int = WINDOW) -> float:
+    """The highest entropy, in bits, of the windows of run (of window bytes at least)."""
     counts = [0] * 256
     total = 0.0  # of n log n over the counts in the window
     least = None
@@ -54,24 +63,42 @@ def highest_entropy(run: bytes) -> float:
         n = counts[c]
         counts[c] = n + 1
         total += _N_LOG[n + 1] - _N_LOG[n]
-        if i >= WINDOW:
-            old = run[i - WINDOW]
+        if i >= window:
+            old = run[i - window]
             n = counts[old]
             counts[old] = n - 1
             total += _N_LOG[n - 1] - _N_LOG[n]
-        if i >= WINDOW - 1 and (least is None or total < least):
+        if i >= window - 1 and (least is None or total < least):
             least = total
-    return math.log2(WINDOW) - least / WINDOW
+    return math.log2(window) - least / window
+
+
+def _mixed(run: bytes) -> bool:
+    """Whether half of run or more is in parts that hold digits and letters."""
+    return 2 * sum(len(p) for p in _PARTS.findall(run) if re.search(rb"[0-9]", p) and re.search(rb"[A-Za-z]", p)) >= len(run)
 
 
 def judge(candidate: bytes) -> tuple[str, float] | None:
-    """(class, entropy) if the candidate is a secret: of the first class in which a run of it is, the highest entropy."""
+    """(class, entropy) if the candidate is a secret: of the first class in which a run of it is, the highest entropy.
+
+    Runs of WINDOW or more come before shorter ones.
+    """
     if any(p.search(candidate) for p in _ALLOWED):
         return None
     for name, (runs, kinds, threshold) in CLASSES.items():
         best = max((highest_entropy(r) for r in runs.findall(candidate) if all(re.search(k, r) for k in kinds)), default=0.0)
         if best >= threshold:
             return name, round(best, 6)
+    rest = _UUID.sub(b" ", candidate)
+    for name, (_, kinds, threshold) in CLASSES.items():
+        best = 0.0
+        for r in _RUNS[name].findall(rest):
+            if len(r) < WINDOW and all(re.search(k, r) for k in kinds) and _mixed(r):
+                e = highest_entropy(r, len(r))
+                if e >= threshold * math.log2(len(r)) / math.log2(WINDOW):
+                    best = max(best, e)
+        if best:
+            return name, round(best, 6)
     return None
 
 
@@ -83,7 +110,7 @@ def scan(strings: pa.Array) -> list[tuple[int, int, int, str, float, bytes]]:
     inside[1:-1] = _BYTE[body]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    long = ends - starts >= LEAST
+    long = ends - starts >= SHORTEST
     starts, ends = starts[long], ends[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[body], dtype=np.int64)])
     some = digits[ends] > digits[starts]
@@ -94,7 +121,7 @@ def scan(strings: pa.Array) -> list[tuple[int, int, int, str, float, bytes]]:
         # A run that goes on into the next rows is cut where they begin.
         while a < b:
             stop = min(b, int(bounds[row + 1]))
-            if stop - a >= LEAST:
+            if stop - a >= SHORTEST:
                 candidate = body[a:stop].tobytes()
                 if _DIGIT[body[a:stop]].any():
                     if candidate not in memo:
@@ -165,6 +192,7 @@ def mask(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_mask, StructType([*docs.schema.fields]).add("__secrets", LongType()))
 
 
+#: The classes hex and base64 in runs of WINDOW or more: no capitals or small letters with digits alone, no shorter runs.
 ORACLE = f"""
 WITH found AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{{{LEAST},}}')) AS c FROM documents),
 allowed AS (SELECT row_number() OVER () AS k, * FROM found WHERE regexp_matches(c, '[0-9]') AND NOT ({' OR '.join(f"regexp_matches(c, '{p}')" for p in ALLOWED)})),
