@@ -79,14 +79,32 @@ def card(s: str, key: bytes) -> str | None:
     return _refill(s, body + str(_luhn(body)))
 
 
+#: Country codes of the E.164 plan that are shorter than three digits.
+_CODE = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+
 def phone(s: str, key: bytes) -> str | None:
-    """The country code stays; the other digits, 7 to 12, are permuted."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", s)
-    rest = s[code.end() :] if code else s
-    d = _digits(rest)
-    if not 7 <= len(d) <= 12:
-        return None
-    return (code.group() if code else "") + _refill(rest, str(permute(int(d), 10 ** len(d), key, "phone")).zfill(len(d)))
+    """The country code, and a 0 before the area, stay; the other digits are permuted, a first one of 0 stays 0.
+
+    A number's digits after those are the same in each layout, and so are its pseudonym's.
+    """
+    wide = re.match(r"\+|00(?=[1-9])", s)
+    if wide:
+        if not 8 <= len(_digits(s[wide.end() :])) <= 15:
+            return None
+        code = re.compile(r"\d{1,3}(?=[ .(/-])").match(s, wide.end()) or _CODE.match(s, wide.end())
+        if code is None:
+            return None
+        head = re.compile(r"[ .-]?\(0\)").match(s, code.end()) or code
+    else:
+        if not 7 <= len(_digits(s)) <= 12:
+            return None
+        head = re.match(r"\(?0(?=[1-9])", s)
+    end = head.end() if head else 0
+    d = _digits(s[end:])
+    size = 10 ** (len(d) - 1)
+    new = str(permute(int(d), size, key, "phone")).zfill(len(d)) if d[0] == "0" else str(size + permute(int(d) - size, 9 * size, key, "phone"))
+    return s[:end] + _refill(s[end:], new)
 
 
 def address(s: str, key: bytes) -> str | None:
@@ -130,24 +148,32 @@ def iban(s: str, key: bytes) -> str | None:
 
 _EPOCH = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _EPOCH
+#: Years of two digits.
+_SHORT = datetime.date(1950, 1, 1).toordinal(), datetime.date(2050, 1, 1).toordinal()
 
 
 def date(s: str, key: bytes) -> str | None:
-    """Dates from 1900 to 2099: year first, else day first where that is a date, else month first. They keep their form."""
+    """Dates from 1900 to 2099: year first, else day first where that is a date, else month first. They keep their form.
+
+    Years of two digits are of 1950 to 2049, and permuted apart.
+    """
     parts = re.findall(r"\d+", s)
+    short = max(map(len, parts)) == 2
+    start, stop = _SHORT if short else (_EPOCH, _EPOCH + _DAYS)
     if len(parts[0]) == 4:
         forms = [(0, 1, 2)]
     else:
         forms = [(2, 1, 0), (2, 0, 1)]
     for y, m, d in forms:
         try:
-            day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal() - _EPOCH
+            year = int(parts[y]) + (1900 if int(parts[y]) >= 50 else 2000) * short
+            day = datetime.date(year, int(parts[m]), int(parts[d])).toordinal() - start
         except ValueError:
             continue
-        if not 0 <= day < _DAYS:
+        if not 0 <= day < stop - start:
             continue
-        new = datetime.date.fromordinal(permute(day, _DAYS, key, "date") + _EPOCH)
-        values = {y: str(new.year), m: f"{new.month:02d}", d: f"{new.day:02d}"}
+        new = datetime.date.fromordinal(permute(day, stop - start, key, "date") + start)
+        values = {y: str(new.year)[2 * short :], m: f"{new.month:02d}", d: f"{new.day:02d}"}
         it = iter(values[k] for k in range(3))
         return re.sub(r"\d+", lambda _: next(it), s)
     return None
@@ -181,11 +207,17 @@ _EDGE = r"(?<![\w.+-])"
 KINDS = [
     ("email", email, r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("iban", iban, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    ("date", date, r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w-])"),
+    ("date", date, r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}(?=T\d)|(?:\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\w-])|\d{2}([-/.])\d{2}\4\d{2}(?![\w-]|[./]\d))"),
     ("ip", address, r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"),
     ("ssn", social, r"\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", card, r"\d(?:[ -]?\d){12,18}(?![\w-])"),
-    ("phone", phone, r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\w)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)"),
+    (
+        "phone",
+        phone,
+        r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)"
+        r"|\+\d{1,3}[ .-]?\(\d{1,5}\)(?:[ ./-]?\d){4,13}(?!\w)|(?:\+|00(?=[1-9]))\d(?:[ ./-]?\d){7,14}(?!\w)"
+        r"|0[1-9](?P<by>[ .-])\d{2}(?:(?P=by)\d{2}){3}(?!\w)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)|\(?0[1-9](?:\)?[ ./-]?\d){7,10}(?!\w)",
+    ),
 ]
 _DIGIT = re.compile(r"\d")
 _START = re.compile(r"(?<![\w.+@-])(?:[A-Za-z0-9][A-Za-z0-9._%+-]*@|[A-Z]{2}\d{2}|\d|\+\d|\(\d)")
@@ -269,7 +301,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     __kinds lists kinds and numbers, as card:1,phone:2. Replaced are e-mail addresses (before the @), IBANs, dates of
     1900-2099, IPv4 addresses, US social security numbers, payment cards and phone numbers, each if it validates; digits within words
-    or longer numbers are left alone. A null text stays null; empty texts and tables, and repeated rows, are fine.
+    or longer numbers are left alone. Phone numbers are those with + or 00 (8 to 15 digits in any groups), with a 0 before the
+    area (9 to 12 digits), with the area in brackets, and of 3, 3 and 4 digits. Not covered: other numbers without + or 0
+    (Spanish 612 345 678), dates with names of months, and years of two digits beside days or months of one digit. Years of
+    two digits aren't linked to those of four. A null text stays null; empty texts and tables, and repeated rows, are fine.
     """
     from pyspark.sql.types import LongType, StringType, StructType
 

@@ -70,3 +70,34 @@ def test_clean_texts_are_left_alone(spark):
     texts = ["Chapter 12, page 345.", "In 1999 there were 1234567 people.", "3.14159 and 10:30", "ratio 1/2/3", "ISBN 978-3-16-148410-0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["text"] for r in p.pseudonymised(df).orderBy("doc_id").collect()] == texts
+
+
+@pytest.mark.parametrize("value, kept", [
+    ("+14155550123", "+1"), ("+49 151 23456789", "+49 "), ("+33 6 12 34 56 78", "+33 "), ("06 12 34 56 78", "0"), ("0151 23456789", "0"), ("030/1234567", "0"), ("+49 (0) 151 23456789", "+49 (0) "),
+    ("0049 151 23456789", "0049 "), ("0612345678", "0"), ("(030) 12345678", "(0"), ("+9 (999) 999-9999", "+9 ("),
+])
+def test_phone_layouts(value, kept):
+    new, counts = p.Pseudonymiser(KEY).replace(f"call {value}, or not.")
+    assert counts == {"phone": 1} and value not in new
+    assert new.startswith(f"call {kept}") and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {value}, or not.")
+
+
+def test_layouts_of_a_number_are_linked():
+    own = p.Pseudonymiser(KEY)
+    for layouts, n in ((["+14155550123", "+1 415 555 0123", "+1 (415) 555-0123"], 10), (["+33612345678", "+33 6 12 34 56 78", "06 12 34 56 78", "0612345678", "+33 (0)6 12 34 56 78"], 9)):
+        assert len({p._digits(own.replace(x)[0])[-n:] for x in layouts}) == 1
+    text = "06 12 34 56 78 2024 and +49 151 23456789 2024-05-17"
+    new, counts = own.replace(text)
+    assert counts == {"phone": 2, "date": 1} and " 2024 and " in new
+    numbers = [p.phone(f"+1 415 {k:03d} 0123", KEY) for k in range(300)]
+    assert len(set(numbers)) == 300
+
+
+def test_dates_before_a_time_and_short_years():
+    own = p.Pseudonymiser(KEY)
+    new, counts = own.replace("born 1980-05-17T00:00:00Z, 1980-05-17 and 17.05.80, 05/17/80")
+    assert counts == {"date": 4} and new.endswith(re.search(r"\d\d/\d\d/\d\d$", new).group())
+    assert new[5:15] == new[27:37] and new[15:25] == "T00:00:00Z" and new[5:15] != "1980-05-17"
+    days = [(datetime.date(1999, 1, 1) + datetime.timedelta(k)).strftime("%d.%m.%y") for k in range(800)]
+    assert len({p.date(d, KEY) for d in days}) == 800
+    assert own.replace("10.10.80.12")[1] == {"ip": 1} and own.replace("1.2.10 and 3.2.15")[1] == {}
