@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: What separates words for str.split: the white space of Unicode, and four separators of ASCII.
 SPACE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 SPACE_RE2 = SPACE.replace("\\u", "\\x{").replace("\\x{1680", "\\x{1680}").replace("\\x{2000", "\\x{2000}").replace("\\x{200a", "\\x{200a}").replace("\\x{2028", "\\x{2028}").replace("\\x{2029", "\\x{2029}").replace("\\x{202f", "\\x{202f}").replace("\\x{205f", "\\x{205f}").replace("\\x{3000", "\\x{3000}").replace("\\x85", "\\x{85}").replace("\\xa0", "\\x{a0}")
+ASCII_SPACE = "[\\x09-\\x0d\\x1c-\\x20]+"
 CURLY, STRAIGHT = "‘’“”", "''\"\""
 
 
@@ -43,17 +45,32 @@ def straight_quotes(text: Column) -> Column:
     return F.translate(text, CURLY, STRAIGHT)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a plain nesting would repeat its expression wherever use has it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _narrowed(text: Column) -> Column:
+    """Straight quotes, compatibility decomposition (NFKD), then ASCII alone."""
+    one, to, many = decompositions()
+    spellings = ("".join(many), F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02")))
+
+    def spelled(t: Column) -> Column:
+        # Of the few different characters that are left, those of several letters are replaced one by one.
+        left = F.array_distinct(F.regexp_extract_all(t, F.lit("[^\\x00-\\x7F]"), F.lit(0)))
+        some = F.filter(left, lambda c: F.translate(c, spellings[0], "") == "")
+        return F.aggregate(some, t, lambda acc, c: F.replace(acc, c, F.element_at(spellings[1], c)))
+
+    return F.regexp_replace(bound(F.translate(text, CURLY + one, STRAIGHT + to), spelled), "[^\\x00-\\x7F]", "")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def to_ascii(text: Column) -> Column:
     """Compatibility decomposition (NFKD), then ASCII alone. Texts that are ASCII already pass as they are."""
-    one, to, many = decompositions()
-    single = F.regexp_replace(F.translate(text, one, to), "[^\\x00-\\x7F]", "")
-    # One literal, folded to a map on the driver: thousands of nodes would slow the planning of every query.
-    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c < F.lit("\x80"), c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
-    wide = F.regexp_replace(F.translate(spelled, one, to), "[^\\x00-\\x7F]", "")
-    # A character of several is looked for by a hashed translation: a class of a thousand characters is a slow pattern.
-    some = F.length(F.translate(text, "".join(many), "")) < F.length(text)
-    return F.when(F.octet_length(text) == F.length(text), text).when(some, wide).otherwise(single)
+    return F.when(is_ascii(text), text).otherwise(_narrowed(text))
 
 
 def split_its(text: Column) -> Column:
@@ -62,8 +79,9 @@ def split_its(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """All steps in order; white space is squished again, as decomposition can leave more."""
-    return split_its(squish(to_ascii(straight_quotes(squish(text)))))
+    """All steps in order; white space is squished again, as decomposition can leave more. ASCII needs the first and last alone."""
+    plain = F.trim(F.regexp_replace(text, ASCII_SPACE, " "))
+    return split_its(F.when(is_ascii(text), plain).otherwise(squish(_narrowed(squish(text)))))
 
 
 def clean_corpus(corpus: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuscle import validation as check
 from corpuscle.functions.stats import NAN
-from corpuscle.operators.frequency import firsts
-from corpuscle.operators.groups import strip
+from corpuscle.operators.frequency import TOTAL, unit_counts
+from corpuscle.plans.runtime import cut
 
 MEASURES = ["Carrolls_D2", "Rosengrens_S", "Lynes_D3", "DC", "Juillands_D", "DP", "DP_norm"]
 
@@ -21,12 +21,10 @@ def dispersions_table(tokens: DataFrame, count_by: str = "pos") -> DataFrame:
     """
     check.layer(count_by)
     check.tokens(tokens)
-    first = firsts(tokens, count_by, filtered=count_by == "pos")
-    counts = first.select("doc_id", strip(F.col("Token")).alias("Token"), "Tag").groupBy("doc_id", "Token", "Tag").agg(F.count("*").cast("double").alias("v"))
-    sizes = counts.groupBy("doc_id").agg(F.sum("v").alias("size"))
-    all_ = sizes.agg(F.sum("size").alias("total"), F.count("*").cast("double").alias("n"), F.min("size").alias("least"))
-    s = sizes.crossJoin(F.broadcast(all_)).select("doc_id", (F.col("size") / F.col("total")).alias("s"))
-    cells = counts.join(s, "doc_id")
+    # Read three times: for the totals, and for sums that need what the ones before gave.
+    counts = cut(unit_counts(tokens, count_by, whole=False, filtered=count_by == "pos").select("Token", "Tag", F.col("n").cast("double").alias("v"), "size"))
+    all_ = counts.where(F.col("Tag") == TOTAL).agg(F.sum("size").cast("double").alias("total"), F.count("*").cast("double").alias("n"), F.min("size").cast("double").alias("least"))
+    cells = counts.where(~F.col("Tag").eqNullSafe(TOTAL)).crossJoin(F.broadcast(all_)).select("Token", "Tag", "v", (F.col("size") / F.col("total")).alias("s"))
     v, share = F.col("v"), F.col("s")
     r = v / share
     sums = cells.groupBy("Token", "Tag").agg(

@@ -7,32 +7,38 @@ from pyspark.sql import functions as F
 
 from corpuscle import validation as check
 from corpuscle.config import SETTINGS
-from corpuscle.operators.groups import groups, is_word, ordered, strip
+from corpuscle.operators.groups import is_word, strip, units
 from corpuscle.schema import LAYERS
 
 
-def units(tokens: DataFrame, layer: str) -> DataFrame:
-    """(doc_id, Token, Tag, n) of each document. On the ds layer untagged signs go before units are joined."""
-    tag, _ = LAYERS[layer]
-    some = tokens.where(is_word(layer, tag))
-    g = groups(some, layer)
-    return g.select("doc_id", strip(F.col("token")).alias("Token"), F.col("tag").alias("Tag")).groupBy("doc_id", "Token", "Tag").agg(F.count("*").alias("n"))
+#: The tag of the rows that hold a document's own total.
+TOTAL = "\x00total"
 
 
-def firsts(tokens: DataFrame, layer: str, filtered: bool = True) -> DataFrame:
-    """(doc_id, Token, Tag): the first token of each unit."""
-    tag, id_ = LAYERS[layer]
-    t = ordered(tokens)
-    t = t.where(is_word(layer, tag)) if filtered else t
-    return t.groupBy("doc_id", id_, tag).agg(F.min_by("token", "tok_idx").alias("Token")).select("doc_id", "Token", F.col(tag).alias("Tag"))
+def unit_counts(tokens: DataFrame, layer: str, whole: bool = True, filtered: bool = True) -> DataFrame:
+    """(doc_id, Token, Tag, n, size) of each document, and a row of it with the tag TOTAL; size is the number of its units.
+
+    On the ds layer untagged signs go before units are joined.
+    """
+    tag, _ = LAYERS[layer]
+    docs = units(tokens.where(is_word(layer, tag)) if filtered else tokens, layer, whole=whole)
+    row = lambda token, tag, n: F.struct(token.alias("Token"), tag.alias("Tag"), n.cast("long").alias("n"))
+    rows = F.concat(F.transform("units", lambda u: row(strip(u["token"]), u["tag"], F.lit(1))), F.array(row(F.lit(None).cast("string"), F.lit(TOTAL), F.size("units"))))
+    each = docs.select("doc_id", F.size("units").cast("long").alias("size"), F.inline(rows))
+    return each.groupBy("doc_id", "size", "Token", "Tag").agg(F.sum("n").alias("n"))
 
 
 def summarise(counts: DataFrame, keys: list[str], per: float) -> DataFrame:
-    """keys, AF, RF (of per) and Range (% of the documents in counts) from counts (doc_id, keys, n), one row a document and key."""
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("AF"), F.count("*").alias("docs"))
-    # Totals are one row: they join without a shuffle of the rest.
-    all_ = counts.agg(F.sum("n").alias("total"), F.count_distinct("doc_id").alias("all_docs"))
-    return sums.crossJoin(F.broadcast(all_)).select(*keys, "AF", (F.col("AF") / F.col("total") * per).alias("RF"), (F.col("docs") / F.col("all_docs") * 100.0).alias("Range"))
+    """keys, AF, RF (of per) and Range (% of the documents) from counts (doc_id, keys, n), one row a document and key, and one
+    with the tag TOTAL.
+
+    Totals are a row of the same sums. It is known by a sum too, not by its key: a filter of the key would be moved below the
+    shuffle, and what is below would be done twice; so both sides of the join read the one shuffle.
+    """
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("AF"), F.count("*").alias("docs"), F.max(F.col("Tag") == TOTAL).alias("all"))
+    total = sums.where(F.col("all")).select(F.col("AF").alias("total"), F.col("docs").alias("all_docs"))
+    rows = sums.where(~F.coalesce("all", F.lit(False)))
+    return rows.crossJoin(F.broadcast(total)).select(*keys, "AF", (F.col("AF") / F.col("total") * per).alias("RF"), (F.col("docs") / F.col("all_docs") * 100.0).alias("Range"))
 
 
 def frequency_table(tokens: DataFrame, count_by: str = "pos", af_min: int = 0, af_max: int | None = None, rf_min: float = 0.0, rf_max: float | None = None, range_min: float = 0.0, range_max: float | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -41,7 +47,7 @@ def frequency_table(tokens: DataFrame, count_by: str = "pos", af_min: int = 0, a
     check.tokens(tokens)
     if count_by == "both":
         return tuple(frequency_table(tokens, c, af_min, af_max, rf_min, rf_max, range_min, range_max) for c in ("pos", "ds"))
-    out = summarise(units(tokens, count_by), ["Token", "Tag"], SETTINGS.per)
+    out = summarise(unit_counts(tokens, count_by), ["Token", "Tag"], SETTINGS.per)
     for column, low, high in (("AF", af_min, af_max), ("RF", rf_min, rf_max), ("Range", range_min, range_max)):
         if low:
             out = out.where(F.col(column) >= low)
@@ -63,7 +69,8 @@ def tags_table(tokens: DataFrame, count_by: str = "pos") -> DataFrame | tuple[Da
     check.tokens(tokens)
     if count_by == "both":
         return tags_table(tokens, "pos"), tags_table(tokens, "ds")
-    counts = tag_counts(tokens, count_by).withColumnRenamed("tag", "Tag")
+    docs = tag_counts(tokens, count_by).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("tag").alias("Tag"), "n")).alias("cells"), F.sum("n").alias("n"))
+    counts = docs.select("doc_id", F.inline(F.concat("cells", F.array(F.struct(F.lit(TOTAL).alias("Tag"), "n")))))
     return summarise(counts, ["Tag"], 100.0).orderBy(F.desc("AF"), "Tag")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle import validation as check
 from corpuscle.functions.stats import chi2_tail
+from corpuscle.plans.runtime import cut
 
 
 def keyness_table(target: DataFrame, reference: DataFrame, correct: bool = False, tags_only: bool = False, swap_target: bool = False, threshold: float = 0.01) -> DataFrame:
@@ -21,8 +22,9 @@ def keyness_table(target: DataFrame, reference: DataFrame, correct: bool = False
     values = ["AF", "RF", "Range"]
     a = target.select(*keys, *values)
     b = reference.select(*keys, *[F.col(c).alias(f"{c}_Ref") for c in values])
-    totals = a.agg(F.sum("AF").cast("double").alias("t")).crossJoin(b.agg(F.sum("AF_Ref").cast("double").alias("r")))
-    x = a.join(b, keys, "full").fillna(0).crossJoin(F.broadcast(totals))
+    both = cut(a.join(b, keys, "full").fillna(0))  # read twice, while what it is made of is made once
+    totals = both.agg(F.sum("AF").cast("double").alias("t"), F.sum("AF_Ref").cast("double").alias("r"))
+    x = both.crossJoin(F.broadcast(totals))
     x = x.withColumns({"a": F.col("AF").cast("double"), "b": F.col("AF_Ref").cast("double")})
     x = x.withColumn("off", F.expr("a - (a + b) * (t / (t + r))"))
     move = F.when(F.abs("off") > 0.25, 0.5 * F.signum("off")).otherwise(0.0) if correct else F.lit(0.0)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpuscle import validation as check
 from corpuscle.functions.stats import NAN
+from corpuscle.operators.order import offsets
+from corpuscle.plans.runtime import cut
 
 #: The first pattern that a tag begins with gives its class.
 CLASSES = [("NN", "#NounCommon"), ("VV", "#VerbLex"), ("J", "#Adjective"), ("R", "#Adverb"), ("P", "#Pronoun"), ("I", "#Preposition"), ("C", "#Conjunction"), ("N", "#NounOther"), ("VB", "#VerbBe"), ("V", "#VerbOther")]
@@ -49,6 +51,7 @@ def dtm_weight(dtm: DataFrame, scheme: str = "prop") -> DataFrame:
     prop = dtm.select("doc_id", *[share[c].alias(c) for c in names])
     if scheme == "prop":
         return prop
+    prop = cut(prop)  # read twice: for sums by column, and for all
     q = [_quoted(c) for c in names]
     if scheme == "scale":
         moments = prop.agg(*[F.avg(x).alias(f"m{k}") for k, x in enumerate(q)], *[F.stddev_samp(x).alias(f"s{k}") for k, x in enumerate(q)])
@@ -73,6 +76,7 @@ def dtm_simplify(dtm: DataFrame) -> DataFrame:
 def freq_simplify(frequencies: DataFrame) -> DataFrame:
     """A frequency table with classes for tags; rows stay apart."""
     check.frequencies(frequencies)
+    frequencies = cut(frequencies)
     if frequencies.where(F.col("Tag").rlike("^(NN|VV|II)")).isEmpty():
         check.word_classes([])
     return frequencies.withColumn("Tag", word_class(F.col("Tag")))
@@ -88,9 +92,8 @@ def tags_simplify(dtm: DataFrame) -> DataFrame:
 
 def dtm_to_coo(dtm: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The matrix as (row, col, value) without zeros, its documents (row, doc_id) by doc_id, and its tags (col, tag)."""
-    from corpuscle.operators.order import offsets
-
     check.dtm(dtm)
+    dtm = cut(dtm)
     one = dtm.select("doc_id").withColumn("one", F.lit(1))
     docs = offsets(one, ["one"]).select(F.col("before_one").alias("row"), "doc_id")
     cells = long_form(dtm).where("n <> 0").join(docs, "doc_id").select("row", F.col("col").cast("long").alias("col"), F.col("n").alias("value"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle import validation as check
-from corpuscle.operators.groups import around, groups, is_word, strip
+from corpuscle.operators.groups import around, bare, counts_as, edges, first_items, hits, last_items, ordered, strip, units, words
+from corpuscle.plans.runtime import cut
+from corpuscle.schema import LAYERS
 
 SEARCHES = ("fixed", "starts_with", "ends_with", "contains")
 
@@ -17,11 +21,6 @@ def matches(token: Column, node: str, search: str) -> Column:
     return {"fixed": lambda: token == node, "starts_with": lambda: token.startswith(node), "ends_with": lambda: token.endswith(node), "contains": lambda: token.rlike(node)}[search]()
 
 
-def _words(tokens: DataFrame, layer: str) -> DataFrame:
-    g = groups(tokens, layer).where(is_word(layer, "tag"))
-    return g.select("doc_id", "place", strip(F.col("token")).alias("token"), "tag")
-
-
 def _table(rows: DataFrame, total: DataFrame, span: int) -> DataFrame:
     """Token_1.., Tag_1.., AF, RF per million of total (one row: total), Range % of the documents in rows (doc_id, items)."""
     items = [F.get("items", F.lit(k)) for k in range(span)]
@@ -29,8 +28,11 @@ def _table(rows: DataFrame, total: DataFrame, span: int) -> DataFrame:
     keys = flat.columns[1:]
     by_doc = flat.groupBy("doc_id", *keys).agg(F.count("*").alias("n"))
     sums = by_doc.groupBy(*keys).agg(F.sum("n").alias("AF"), F.count("*").alias("docs"))
-    all_ = total.crossJoin(rows.agg(F.count_distinct("doc_id").alias("all_docs")))
-    return sums.crossJoin(F.broadcast(all_)).select(*keys, "AF", (F.col("AF") / F.col("total") * 1e6).alias("RF"), (F.col("docs") / F.col("all_docs") * 100.0).alias("Range"))
+    return sums.crossJoin(F.broadcast(total)).select(*keys, "AF", (F.col("AF") / F.col("total") * 1e6).alias("RF"), (F.col("docs") / F.col("all_docs") * 100.0).alias("Range"))
+
+
+def _by_frequency(table: DataFrame, span: int) -> DataFrame:
+    return table.orderBy(F.desc("AF"), *[f"Token_{k + 1}" for k in range(span)], *[f"Tag_{k + 1}" for k in range(span)])
 
 
 def ngrams(tokens: DataFrame, span: int = 2, min_frequency: float = 10, count_by: str = "pos", within_doc: bool = False) -> DataFrame:
@@ -41,29 +43,31 @@ def ngrams(tokens: DataFrame, span: int = 2, min_frequency: float = 10, count_by
     check.layer(count_by)
     check.tokens(tokens)
     check.span(span)
-    words = _words(tokens, count_by)
-    near = _shifted(words, span, within_doc)
-    rows = near.where(F.get("items", F.lit(span - 1)).isNotNull())
-    table = _table(rows, words.agg(F.count("*").alias("total")), span)
-    return table.where(F.col("RF") >= min_frequency).orderBy(F.desc("AF"), *[f"Token_{k + 1}" for k in range(span)], *[f"Tag_{k + 1}" for k in range(span)])
-
-
-def _shifted(words: DataFrame, span: int, within_doc: bool) -> DataFrame:
-    near = around(words, 0, span - 1, within_doc)
-    return near.select("doc_id", F.concat(F.array(F.struct("token", "tag")), F.col("next")).alias("items"))
-
-
-def _clusters(tokens: DataFrame, layer: str, hit: Column, position: int, span: int, within_doc: bool) -> DataFrame:
-    words = _words(tokens, layer)
+    docs = cut(words(tokens, count_by)).where("size(units) > 0")
+    runs = lambda items, n: F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(items, i, span)))
+    rows = docs.where(F.size("units") >= span).select("doc_id", runs("units", F.size("units") - span + 1).alias("items"))
+    # Documents that begin an n-gram: all that are long enough, and shorter ones that enough units follow.
+    total = docs.agg(F.sum(F.size("units")).alias("total"), F.sum(F.when(F.size("units") >= span, 1).otherwise(0)).alias("all_docs"))
+    if not within_doc:
+        ends = docs.select("doc_id", first_items("units", span - 1).alias("head"), last_items("units", span - 1).alias("tail"), (F.size("units") < span).alias("short"))
+        over = edges(ends, 0, span - 1).join(ends, "doc_id").select("doc_id", "short", F.size("tail").alias("n"), F.concat("tail", "next").alias("items"))
+        # Of those that begin in the last units, the ones that are whole.
+        over = over.withColumn("n", F.least("n", F.size("items") - span + 1)).where("n > 0")
+        rows = rows.unionByName(over.select("doc_id", runs("items", F.col("n")).alias("items")))
+        total = total.crossJoin(F.broadcast(over.agg(F.count_if("short").alias("more")))).select("total", (F.col("all_docs") + F.col("more")).alias("all_docs"))
+    table = _table(rows, total, span)
+    return _by_frequency(table.where(F.col("RF") >= min_frequency), span)
+
+
+def _clusters(tokens: DataFrame, layer: str, hit: Callable[[Column], Column], position: int, span: int, within_doc: bool) -> DataFrame:
     before, after = position - 1, span - position
-    near = around(words, before, after, within_doc).where(hit)
+    found = hits(words(tokens, layer), before, after, hit)
+    kept = cut(found.select("doc_id", "hits", "head", "tail", F.size("units").alias("n")))
     # Beyond the ends of the corpus there is null, so that the node keeps its place.
-    nothing = F.lit(None).cast("struct<token: string, tag: string>")
-    pad = F.array_repeat(nothing, F.lit(before) - F.size("previous")) if before else F.expr("cast(array() as array<struct<token: string, tag: string>>)")
-    items = F.concat(pad, F.col("previous"), F.array(F.struct("token", "tag")), F.col("next")) if before else F.concat(F.array(F.struct("token", "tag")), F.col("next"))
-    rows = near.select("doc_id", items.alias("items"))
-    table = _table(rows, words.agg(F.count("*").alias("total")), span)
-    return table.orderBy(F.desc("AF"), *[f"Token_{k + 1}" for k in range(span)], *[f"Tag_{k + 1}" for k in range(span)])
+    nothing = F.array_repeat(F.lit(None).cast("struct<token: string, tag: string>"), F.lit(before) - F.size("previous"))
+    rows = around(kept, before, after, within_doc).select("doc_id", F.concat(nothing, "previous", F.array("node"), "next").alias("items"))
+    total = kept.agg(F.sum("n").alias("total"), F.sum(F.when(F.size("hits") > 0, 1)).alias("all_docs"))
+    return _by_frequency(_table(rows, total, span), span)
 
 
 def clusters_by_token(tokens: DataFrame, node_word: str, node_position: int = 1, span: int = 2, search_type: str = "fixed", count_by: str = "pos", within_doc: bool = False) -> DataFrame:
@@ -71,7 +75,8 @@ def clusters_by_token(tokens: DataFrame, node_word: str, node_position: int = 1,
     check.layer(count_by)
     check.tokens(tokens)
     check.span(span)
-    hit = matches(F.col("token"), node_word.lower(), search_type)
+    check.one_of(search_type, SEARCHES, "search_type")
+    hit = lambda u: matches(u["token"], node_word.lower(), search_type)
     return _clusters(tokens, count_by, hit, check.position(node_position, span), span, within_doc)
 
 
@@ -80,7 +85,7 @@ def clusters_by_tag(tokens: DataFrame, tag: str, tag_position: int = 1, span: in
     check.layer(count_by)
     check.tokens(tokens)
     check.span(span)
-    return _clusters(tokens, count_by, F.col("tag") == tag, check.position(tag_position, span), span, within_doc)
+    return _clusters(tokens, count_by, lambda u: u["tag"] == tag, check.position(tag_position, span), span, within_doc)
 
 
 def kwic_center_node(tokens: DataFrame, node_word: str, ignore_case: bool = True, search_type: str = "fixed", within_doc: bool = False, words: int = 7) -> DataFrame:
@@ -89,15 +94,18 @@ def kwic_center_node(tokens: DataFrame, node_word: str, ignore_case: bool = True
     As in the library that this follows, ends_with with case looks at the unit with its white space.
     """
     check.tokens(tokens)
-    g = groups(tokens, "pos", by_tag=False)
-    plain = F.regexp_replace("token", "^\\s+|\\s+$", "")
-    if ignore_case:
-        hit = matches(F.lower(plain), node_word.lower(), search_type)
-    else:
-        hit = matches(F.col("token") if search_type == "ends_with" else plain, node_word, search_type)
-    near = around(g, words, words, within_doc).where(hit)
+    check.one_of(search_type, SEARCHES, "search_type")
+
+    def hit(u: Column) -> Column:
+        if ignore_case:
+            return matches(strip(u["token"]), node_word.lower(), search_type)
+        return matches(u["token"] if search_type == "ends_with" else bare(u["token"]), node_word, search_type)
+
+    docs = units(tokens, "pos", by_tag=False).withColumn("units", F.transform("units", lambda u: F.struct(u["token"].alias("token"))))
+    kept = cut(hits(docs, words, words, hit).select("doc_id", "hits", "head", "tail"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["token"]), "")
-    return near.select(F.col("doc_id").alias("Doc ID"), joined("previous").alias("Pre-Node"), F.col("token").alias("Node"), joined("next").alias("Post-Node"), "place").orderBy("Doc ID", "place").drop("place")
+    near = around(kept, words, words, within_doc)
+    return near.select(F.col("doc_id").alias("Doc ID"), joined("previous").alias("Pre-Node"), F.col("node.token").alias("Node"), joined("next").alias("Post-Node"), "place").orderBy("Doc ID", "place").drop("place")
 
 
 def coll_table(tokens: DataFrame, node_word: str, preceding: int = 4, following: int = 4, statistic: str = "npmi", count_by: str = "pos", node_tag: str | None = None, within_doc: bool = False) -> DataFrame:
@@ -114,12 +122,16 @@ def coll_table(tokens: DataFrame, node_word: str, preceding: int = 4, following:
     for n in (preceding, following):
         if not 0 <= n <= 9:
             raise check.ValidationFailed(f"preceding and following are from 0 to 9, not {n}")
-    g = groups(tokens, count_by).select("doc_id", "place", strip(F.col("token")).alias("token"), "tag")
-    node = (F.col("token") == node_word.lower()) & (F.col("tag").startswith(node_tag) if node_tag is not None else F.lit(True))
-    totals = g.where(is_word(count_by, "tag")).groupBy(F.col("token").alias("Token"), F.col("tag").alias("Tag")).agg(F.count("*").alias("Freq Total"))
-    named = (F.col("Token") == node_word.lower()) & (F.col("Tag").startswith(node_tag) if node_tag is not None else F.lit(True))
-    all_ = totals.agg(F.sum("Freq Total").alias("total"), F.sum(F.when(named, F.col("Freq Total"))).alias("node"))
-    near = around(g.where(F.col("token").rlike("[a-z]")), preceding, following, within_doc).where(node)
+    plain = F.transform("units", lambda u: F.struct(strip(u["token"]).alias("token"), u["tag"].alias("tag")))
+    docs = units(tokens, count_by).select("doc_id", plain.alias("units"))
+    docs = docs.select("doc_id", "units", F.filter("units", lambda u: u["token"].rlike("[a-z]")).alias("letters"))
+    is_node = lambda token, tag: (token == node_word.lower()) & (tag.startswith(node_tag) if node_tag is not None else F.lit(True))
+    found = hits(docs, preceding, following, lambda u: is_node(u["token"], u["tag"]), "letters")
+    kept = cut(found.select("doc_id", "hits", "head", "tail", F.filter("units", lambda u: counts_as(count_by, u["token"], u["tag"])).alias("units")))
+    bag = kept.select(F.inline("units"))
+    totals = bag.groupBy(F.col("token").alias("Token"), F.col("tag").alias("Tag")).agg(F.count("*").alias("Freq Total"))
+    all_ = bag.agg(F.count("*").alias("total"), F.sum(F.when(is_node(F.col("token"), F.col("tag")), 1)).alias("node"))
+    near = around(kept, preceding, following, within_doc)
     span = near.select(F.explode(F.concat("previous", "next")).alias("x")).groupBy(F.col("x.token").alias("Token"), F.col("x.tag").alias("Tag")).agg(F.count("*").alias("Freq Span"))
     both = span.join(totals, ["Token", "Tag"]).crossJoin(F.broadcast(all_)).where("node > 0")
     mi = mutual_information(statistic, F.col("Freq Span"), F.col("Freq Total"), F.col("node"), F.col("total"))
@@ -128,20 +140,16 @@ def coll_table(tokens: DataFrame, node_word: str, preceding: int = 4, following:
 
 def tag_ruler(tokens: DataFrame, doc_id: str | int, count_by: str = "pos") -> DataFrame:
     """(token, tag, tag_id) of one document in order, by id or by its index in the sorted ids."""
-    from corpuscle.operators.groups import ordered
-    from corpuscle.schema import LAYERS
-
     check.layer(count_by)
     check.tokens(tokens)
     tag, id_ = LAYERS[count_by]
     if isinstance(doc_id, int) and not isinstance(doc_id, bool):
-        ids = tokens.select("doc_id").distinct()
-        found = ids.orderBy("doc_id").limit(doc_id + 1).orderBy(F.desc("doc_id")).limit(1).collect() if doc_id >= 0 else []
-        n = ids.count()
-        if not 0 <= doc_id < n:
-            raise check.ValidationFailed(f"there are {n} documents: the index exceeds the maximum {n - 1}")
-        doc_id = found[0]["doc_id"]
-    own = ordered(tokens).where(F.col("doc_id") == doc_id)
+        first = tokens.select("doc_id").distinct().orderBy("doc_id").limit(max(doc_id, 0) + 1)
+        at, n = first.agg(F.max("doc_id"), F.count("*")).first()
+        if doc_id < 0 or n <= doc_id:
+            raise check.ValidationFailed(f"there are {n} documents: the index exceeds the maximum {n - 1}" if doc_id >= 0 else "an index counts from 0")
+        doc_id = at
+    own = cut(ordered(tokens).where(F.col("doc_id") == doc_id))
     if own.isEmpty():
         raise check.ValidationFailed(f"there is no document {doc_id!r}")
     return own.orderBy("tok_idx").select("token", F.col(tag).alias("tag"), F.col(id_).alias("tag_id"))

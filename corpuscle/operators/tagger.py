@@ -59,10 +59,6 @@ _DS = (_units(DS_UNITS, "B-{}", "I-{}"), "WHEN substr({w}, 1, 1) BETWEEN '0' AND
 #: CASE expressions of {w}, the word in lower case, {n} the next and {p} the previous one, for DuckDB.
 POS_CASE = f"CASE {_POS[0]} {_words(POS_WORDS)} {_POS[1]}"
 DS_CASE = f"CASE {_DS[0]} {_words({f'B-{t}': w for t, w in DS_WORDS.items()})} {_DS[1]}"
-#: The same where the lexicon is a table with the columns lex_pos and lex_ds.
-_POS_RULES = f"CASE {_POS[0]} WHEN lex_pos IS NOT NULL THEN lex_pos {_POS[1]}"
-_DS_RULES = f"CASE {_DS[0]} WHEN lex_ds IS NOT NULL THEN lex_ds {_DS[1]}"
-
 #: Tags that the rules can give, after multi-word units are one: matrices with one column a tag have these.
 POS_TAGS = sorted({*POS_WORDS, *(t for _, t in POS_SUFFIXES), *POS_UNITS.values(), "NN1", "GE"})
 DS_TAGS = sorted({*DS_WORDS, *(t for _, t in DS_SUFFIXES), *DS_UNITS.values(), "InformationExposition", "Untagged"})
@@ -73,30 +69,53 @@ class Tagger(Protocol):
         """Raw tokens of a corpus (doc_id, text)."""
 
 
-def _lexicon() -> list[tuple[str, str | None, str | None]]:
+def _lexicon() -> list[tuple]:
+    """(w, pos, ds, and of the units that w begins on each layer, the second word and the tag; of those that it ends, the first words)."""
     pos = {w: t for t, some in POS_WORDS.items() for w in some.split()}
     ds = {w: f"B-{t}" for t, some in DS_WORDS.items() for w in some.split()}
-    return [(w, pos.get(w), ds.get(w)) for w in sorted({*pos, *ds})]
+
+    def of(units: dict[tuple[str, str], str], first: str, second: str, w: str) -> tuple:
+        begins = [(b, first.format(t)) for (a, b), t in units.items() if a == w]
+        ends = [(a, second.format(t)) for (a, b), t in units.items() if b == w]
+        assert len(begins) <= 1 and len({t for _, t in ends}) <= 1, "a table row holds one unit that begins, and one tag of those that end"
+        return (*(begins[0] if begins else (None, None)), [a for a, _ in ends] or None, ends[0][1] if ends else None)
+
+    words = {*pos, *ds, *(w for u in (*POS_UNITS, *DS_UNITS) for w in u)}
+    return [(w, pos.get(w), ds.get(w), *of(POS_UNITS, "{}21", "{}22", w), *of(DS_UNITS, "B-{}", "I-{}", w)) for w in sorted(words)]
+
+
+def _endings() -> list[tuple[str, str, int, str | None, str | None]]:
+    """(the last two letters, the suffix, its length, pos, ds): each suffix of two letters or more ends with others."""
+    pos, ds = dict(POS_SUFFIXES), dict(DS_SUFFIXES)
+    rows = [(s[-2:], s, len(s), pos.get(s), f"B-{ds[s]}" if s in ds else None) for s in {**pos, **ds} if len(s) > 1]
+    assert len({r[0] for r in rows}) == len(rows) and [s for s in {**pos, **ds} if len(s) == 1] == ["s"] and POS_SUFFIXES[-1][0] == "s"
+    return rows
 
 
 class RuleTagger:
-    """The built-in rules: a document's tokens are exploded with their neighbours, and the lexicon, a fixed hundred words,
-    is joined by broadcast."""
+    """The built-in rules: a document's tokens are exploded with their neighbours, and two tables of fixed size, of a hundred words and
+    of a dozen suffixes, are joined by broadcast. The rules in generated code are few: long ones would run uncompiled for long."""
 
     def tag(self, corpus: DataFrame, before: bool = False) -> DataFrame:
         """Raw tokens, with before also the word before each (in lower case), which streams can't get by a window."""
-        # Texts are shuffled by document before they are exploded: less than the tokens would be, and windows and groups
-        # of a document's tokens then need no shuffle of their own.
-        texts = corpus.where("text IS NOT NULL").repartition("doc_id")
-        rows = texts.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("pieces"))
+        # A null text has no pieces. A filter for it here would be moved below the cleaning, and clean each text once more.
+        rows = corpus.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("pieces"))
         zipped = F.expr("arrays_zip(pieces, slice(pieces, 2, greatest(size(pieces), 1)), concat(array(cast(null as string)), pieces))")
-        each = rows.select("doc_id", F.posexplode(zipped).alias("tok_idx", "t")).select("doc_id", "tok_idx", F.col("t.pieces").alias("x"), F.col("t.1").alias("after"), F.col("t.2").alias("before")).where("x IS NOT NULL")
+        # The outer form: for the inner one the optimiser adds a filter that extracts all pieces once more.
+        each = rows.select("doc_id", F.posexplode_outer(zipped).alias("tok_idx", "t")).select("doc_id", "tok_idx", F.col("t.pieces").alias("x"), F.col("t.1").alias("after"), F.col("t.2").alias("before")).where("x IS NOT NULL")
         word = lambda c: F.lower(F.rtrim(F.col(c)))
         near = each.select("doc_id", F.col("tok_idx").cast("long").alias("tok_idx"), F.rtrim("x").alias("token"), F.expr("substr(x, length(rtrim(x)) + 1)").alias("ws"), word("x").alias("w"), word("after").alias("n"), word("before").alias("p"))
-        lexicon = corpus.sparkSession.createDataFrame(_lexicon(), "w string, lex_pos string, lex_ds string")
-        at = {"w": "w", "n": "n", "p": "p"}
-        tagged = near.join(F.broadcast(lexicon), "w", "left")
-        return tagged.select("doc_id", "tok_idx", "token", "ws", F.expr(_POS_RULES.format(**at)).alias("pos_tag"), F.expr(_DS_RULES.format(**at)).alias("ds_tag"), *([F.col("p").alias("before")] if before else []))
+        spark = corpus.sparkSession
+        lexicon = spark.createDataFrame(_lexicon(), "w string, lex_pos string, lex_ds string, pos_next string, pos_first string, pos_before array<string>, pos_second string, ds_next string, ds_first string, ds_before array<string>, ds_second string")
+        endings = spark.createDataFrame(_endings(), "ending string, suffix string, least int, suffix_pos string, suffix_ds string")
+        tagged = near.withColumn("ending", F.substring("w", -2, 2)).join(F.broadcast(lexicon), "w", "left").join(F.broadcast(endings), "ending", "left")
+        letter, digit = F.substring("w", 1, 1).between("a", "z"), F.substring("w", 1, 1).between("0", "9")
+        ends = (F.length("w") > F.col("least")) & F.endswith("w", F.col("suffix"))
+        unit = lambda of, else_: F.when(F.col("n") == F.col(f"{of}_next"), F.col(f"{of}_first")).when(F.array_contains(f"{of}_before", F.col("p")), F.col(f"{of}_second")).when(F.col(f"lex_{of}").isNotNull(), F.col(f"lex_{of}")).otherwise(else_)
+        plural = F.when((F.length("w") > 1) & F.endswith("w", F.lit("s")), "NN2").otherwise("NN1")
+        pos = F.when(digit, "MC").when(~letter, "Y").when(ends & F.col("suffix_pos").isNotNull(), F.col("suffix_pos")).otherwise(plural)
+        ds = F.when(digit, "B-InformationExposition").when(ends & F.col("suffix_ds").isNotNull(), F.col("suffix_ds")).otherwise("O-")
+        return tagged.select("doc_id", "tok_idx", "token", "ws", unit("pos", pos).alias("pos_tag"), unit("ds", ds).alias("ds_tag"), *([F.col("p").alias("before")] if before else []))
 
 
 class FunctionTagger:

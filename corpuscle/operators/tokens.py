@@ -22,8 +22,10 @@ def finish(raw: DataFrame, merge_multiword: bool = True, global_ids: bool = True
     """
     w = Window.partitionBy("doc_id").orderBy("tok_idx")
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    goes_on = F.col("pos_tag").rlike("[0-9][02-9]$") if merge_multiword else F.lit(False)
-    base = F.regexp_replace("pos_tag", "[0-9][0-9]$", "") if merge_multiword else F.col("pos_tag")
+    # Few tags have a digit before the last sign: the patterns are for these alone.
+    numbered = F.substring("pos_tag", -2, 1).between("0", "9")
+    goes_on = numbered & F.col("pos_tag").rlike("[0-9][02-9]$") if merge_multiword else F.lit(False)
+    base = F.when(numbered, F.regexp_replace("pos_tag", "[0-9][0-9]$", "")).otherwise(F.col("pos_tag")) if merge_multiword else F.col("pos_tag")
     begins = F.col("ds_tag").startswith("B-") | F.col("ds_tag").startswith("O-")
     label = F.when(F.col("ds_tag") == "O-", "Untagged").when(begins, F.regexp_replace("ds_tag", "^(B-|O-)", ""))
     t = raw.select(
@@ -34,7 +36,9 @@ def finish(raw: DataFrame, merge_multiword: bool = True, global_ids: bool = True
         F.last(label, ignorenulls=True).over(up_to).alias("ds_tag"),
         F.lag("token").over(w).alias("before"),
     )
-    tag = F.when(F.col("token").rlike(PUNCTUATION), "Y").when((F.lower("token") == "s") & (F.lower("before") == "it"), "GE").otherwise(F.col("pos_tag"))
+    first = F.substring("token", 1, 1)
+    plain = first.between("a", "z") | first.between("A", "Z") | first.between("0", "9")
+    tag = F.when(~plain & F.col("token").rlike(PUNCTUATION), "Y").when((F.lower("token") == "s") & (F.lower("before") == "it"), "GE").otherwise(F.col("pos_tag"))
     t = t.select("doc_id", F.concat("token", "ws").alias("token"), tag.alias("pos_tag"), "ds_tag", "pos_id", "ds_id", "tok_idx")
     if not global_ids:
         return t
@@ -50,7 +54,9 @@ def parse(corpus: DataFrame, tagger: Tagger | None = None, clean: bool = True, m
     """
     tagger = checked(tagger or RuleTagger())
     valid_corpus(corpus, data=validate)
-    texts = corpus.where("text IS NOT NULL")
+    # Texts are shuffled by document before all else: less than their tokens would be, whose windows and groups then need no
+    # shuffle of their own, and the work is spread also where a file has few row groups.
+    texts = corpus.where("text IS NOT NULL").repartition("doc_id")
     if clean:
         texts = clean_corpus(texts)
     if isinstance(tagger, RuleTagger) and chunk_chars is None:
