@@ -128,7 +128,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     starts, lengths = first[:-1][order], lengths[order]
-    back = np.zeros((n, k), np.int8)
+    back = np.zeros((n, k), np.int8 if k < 128 else np.int16)
     path = np.zeros(n, np.int64)
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(longest + 1), side="left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from corpuscle.llm.kernels import blocks, texts
 from corpuscle.plans.runtime import ship
 
-KEY = b"corpuscle pseudonyms"
 ROUNDS = 10
 
 
@@ -33,9 +33,7 @@ def permute(value: int, size: int, key: bytes, kind: str) -> int:
     """
     if size <= 1:
         return value
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     head = f"{kind}:{size}:".encode()
     while True:
@@ -220,7 +218,6 @@ KINDS = [
     ),
 ]
 _DIGIT = re.compile(r"\d")
-_START = re.compile(r"(?<![\w.+@-])(?:[A-Za-z0-9][A-Za-z0-9._%+-]*@|[A-Z]{2}\d{2}|\d|\+\d|\(\d)")
 _PATTERNS = [(name, f, re.compile(p)) for name, f, p in KINDS]
 _NUMBER = re.compile(r"(?<![\w.+-])(?=[\d+(]|[A-Z]{2}\d{2})")
 _MAIL = re.compile(_EDGE + KINDS[0][2])
@@ -296,15 +293,18 @@ def _apply(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """All rows and columns of docs (with text: STRING), personal data in text replaced, __replaced (number) and __kinds.
 
+    key is the caller's secret: who has it can undo the permutations, and only runs with the same key give the same pseudonyms.
     __kinds lists kinds and numbers, as card:1,phone:2. Replaced are e-mail addresses (before the @), IBANs, dates of
     1900-2099, IPv4 addresses, US social security numbers, payment cards and phone numbers, each if it validates; digits within words
     or longer numbers are left alone. Phone numbers are those with + or 00 (8 to 15 digits in any groups), with a 0 before the
     area (9 to 12 digits), with the area in brackets, and of 3, 3 and 4 digits. Not covered: other numbers without + or 0
     (Spanish 612 345 678), dates with names of months, and years of two digits beside days or months of one digit. Years of
-    two digits aren't linked to those of four. A null text stays null; empty texts and tables, and repeated rows, are fine.
+    two digits aren't linked to those of four. What is before an @ has 64 characters at most, as in the standard; a longer run is no address.
+    Where kinds overlap, an address of mail goes first, then the first place, and there the order of KINDS. A null text stays null; a null
+    doc_id, empty texts and tables, and repeated rows, are fine. Columns of docs that are called __replaced or __kinds are replaced.
     """
     from pyspark.sql.types import LongType, StringType, StructType
 
@@ -314,7 +314,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.mapInArrow(_apply(key), schema)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_replaced, kinds) for each row of docs; see pseudonymise()."""
     out = pseudonymise(docs.select("doc_id", F.col("text").cast("string").alias("text")), key)
     return out.select("doc_id", "text", F.col("__replaced").alias("n_replaced"), F.col("__kinds").alias("kinds"))

@@ -19,9 +19,6 @@ from corpuscle.plans.runtime import ship
 
 TRAIN_URLS = 20_000
 THRESHOLD = 0.5
-#: Hosts with one of these among their words are labelled 1: a stand-in for a public block list.
-BLOCKED_WORDS = ("casino", "bets", "pills", "ads", "poker", "viagra", "porn")
-
 FEATURES = ["length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens_in_host", "digits_in_host", "signs", "secure", "fragment", "longest_word", "suffix_urls", "suffix_depth", "domain_urls", "domain_depth"]
 
 
@@ -127,44 +124,82 @@ def lexical(urls: pa.Array) -> np.ndarray:
     )
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _depth(url: Column) -> Column:
+    """The slashes from the host on, as lexical() has them: statistics of suffixes need no Python."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(url)
+    return (F.length(rest) - F.length(F.translate(rest, "/", ""))).cast("double")
+
+
+#: What goes along with each URL to the features.
+STATISTICS = FEATURES[13:]
+
+
+def with_statistics(urls: DataFrame) -> DataFrame:
+    """(page_id, url, host, STATISTICS) of urls (page_id, url): of the last label of the host, and of its last three (the domain),
+    log1p of the number of URLs, and the mean depth of their paths, over all rows of urls."""
+    x = urls.select("page_id", F.col("url").cast("string").alias("url"))
+    x = x.withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
+    x = x.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -3), "depth": _depth(F.coalesce("url", F.lit("")))})
+    # Domains are summed once, and the few suffixes from their sums. Which side of a join is sent is for the planner, by sizes.
+    domains = x.groupBy("suffix", "domain").agg(F.count("*").alias("n"), F.sum("depth").alias("slashes"))
+    out = x.drop("depth")
+    for name in ("suffix", "domain"):
+        sums = domains.groupBy(name).agg(F.sum("n").cast("double").alias("n"), F.sum("slashes").alias("slashes"))
+        out = out.join(sums.select(name, F.log1p("n").alias(f"{name}_urls"), F.round(F.col("slashes") / F.col("n"), 9).alias(f"{name}_depth")), name)
+    return out.select("page_id", "url", "host", *STATISTICS)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """All features of the batch's rows."""
+    x = lexical(texts(batch, "url"))
+    return np.column_stack([x, *(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in STATISTICS)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in blocks(texts(batch, "url"), 200_000):
-            rest = batch.slice(a, b - a)
-            x = lexical(texts(rest, "url"))
-            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*rest.schema.names, *FEATURES[: x.shape[1]]])
+            yield batch.slice(a, b - a)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
+        x = _matrix(batch)
+        rest = [batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c not in STATISTICS]
+        yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*(c for c in batch.schema.names if c not in STATISTICS), *FEATURES])
 
 
 def features(urls: DataFrame) -> DataFrame:
-    """(page_id, url, host, features): suffixes are the last label of the host, and its last three (the domain).
+    """(page_id, url, host, FEATURES) for each row of urls; see with_statistics()."""
+    ship(urls.sparkSession)
+    return _featured(with_statistics(urls))
 
-    Their statistics are over all rows of urls: log1p of the number of URLs, and the mean depth of their paths.
-    """
+
+def _featured(x: DataFrame) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructType
 
-    ship(urls.sparkSession)
-    plain = urls.select("page_id", F.col("url").cast("string").alias("url"))
-    plain = plain.withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
-    schema = StructType([*plain.schema.fields])
-    for name in FEATURES[:13]:
+    schema = StructType([f for f in x.schema.fields if f.name not in STATISTICS])
+    for name in FEATURES:
         schema = schema.add(name, DoubleType())
-    x = plain.mapInArrow(_features, schema).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -3))
-    for name in ("suffix", "domain"):
-        stats = x.groupBy(name).agg(F.log1p(F.count("*").cast("double")).alias(f"{name}_urls"), F.round(F.avg("depth"), 9).alias(f"{name}_depth"))
-        x = x.join(stats, name)
-    return x.select("page_id", "url", "host", *FEATURES)
+    return x.mapInArrow(_features, schema)
+
 
+def sample(labels: DataFrame, train_urls: int = TRAIN_URLS) -> DataFrame:
+    """At most train_urls rows of labels (url, label: 0 or 1), those of the least hashes: (url, __y), one row a URL. A URL with
+    both labels counts as 1."""
+    known = labels.select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("__y")).where("url IS NOT NULL AND __y IN (0, 1)")
+    return known.groupBy("url").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("url"), "url").limit(train_urls)
 
-def label(host_: Column, words: tuple[str, ...] = BLOCKED_WORDS) -> Column:
-    """1 if a word of the host (letters and digits between dots and hyphens) is blocked, else 0; null without a host."""
-    found = F.arrays_overlap(F.split(host_, "[.-]"), F.array(*[F.lit(w) for w in words]))
-    return F.when(host_ != "", found.cast("int"))
 
+def fit(x: DataFrame, labels: DataFrame, train_urls: int = TRAIN_URLS) -> Trees | None:
+    """Trees from sample() of labels, with the statistics of x (with_statistics()); None without both labels.
 
-def fit(x: DataFrame, labels: Column, train_urls: int = TRAIN_URLS) -> Trees | None:
-    """Trees from at most train_urls labelled rows of features(), those of the least hashes of their URLs; None without both labels."""
-    rows = x.withColumn("__y", labels.cast("double")).where("__y IN (0, 1)").orderBy(F.xxhash64("url"), "page_id").limit(train_urls).select(*FEATURES, "__y").toArrow()
-    data = np.column_stack([rows[c].to_numpy() for c in rows.column_names]) if len(rows) else np.zeros((0, len(FEATURES) + 1))
+    URLs that x doesn't have don't count. A URL that x has often is one row.
+    """
+    chosen = sample(labels, train_urls)  # at most train_urls rows: a bounded side to broadcast
+    rows = x.drop("page_id").join(F.broadcast(chosen), "url").dropDuplicates(["url"])
+    found = _featured(rows).orderBy(F.xxhash64("url"), "url").select(*FEATURES, "__y").toArrow()
+    data = np.column_stack([found[c].to_numpy() for c in found.column_names]) if len(found) else np.zeros((0, len(FEATURES) + 1))
     if len(set(data[:, -1].tolist())) < 2:
         return None
     return Trees.train(data[:, :-1], data[:, -1])
@@ -173,27 +208,26 @@ def fit(x: DataFrame, labels: Column, train_urls: int = TRAIN_URLS) -> Trees | N
 def _apply(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
-        for batch in batches:
-            x = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in FEATURES])
-            blank = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            score = np.full(len(x), np.nan) if trees is None else np.round(trees.score(x), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, mask=blank | np.isnan(score))], names=["page_id", "url", "score"])
+        for batch in _pieces(batches):
+            column = texts(batch, "url")
+            score = np.full(batch.num_rows, np.nan) if trees is None else np.round(trees.score(_matrix(batch)), 6)
+            blank = column.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), column, pa.array(score, mask=blank | np.isnan(score))], names=["page_id", "url", "score"])
 
     return run
 
 
-def filter_urls(pages: DataFrame, labels: Column | None = None, threshold: float = THRESHOLD, train_urls: int = TRAIN_URLS) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_urls: int = TRAIN_URLS) -> DataFrame:
     """(page_id, url, score, blocked) for each row of pages (page_id, url): the score of the trees, blocked from threshold on.
 
-    labels: 0, 1 or null, by the columns of features(); by default that of blocked words in the host. A null URL has a
-    null score and isn't blocked; without rows of both labels no URL has a score. An empty URL, or one without a host, scores
-    by what it has. Repeated rows score alike, and count each in the statistics of suffixes. An empty table gives no rows.
+    labels (url, label): 1 for URLs that are to be blocked, 0 for others; other labels and null URLs don't count, and of a URL with
+    both 1 does. A null URL has a null score and isn't blocked; without URLs of both labels among pages no URL has a score. An
+    empty URL, or one without a host, scores by what it has. Repeated rows score alike, and count each in the statistics of
+    suffixes. An empty table gives no rows. Other columns of pages and labels don't matter, whatever their names.
     """
-    from corpuscle.plans.runtime import cut
-
     spark = ship(pages.sparkSession)
-    x = cut(features(pages))
-    trees = fit(x, label(F.col("host")) if labels is None else labels, train_urls)
+    x = with_statistics(pages)
+    trees = fit(x, labels, train_urls)
     page_id = pages.schema["page_id"].dataType.simpleString()
-    scored = x.select("page_id", "url", *FEATURES).mapInArrow(_apply(spark.sparkContext.broadcast(trees)), f"page_id {page_id}, url string, score double")
+    scored = x.select("page_id", "url", *STATISTICS).mapInArrow(_apply(spark.sparkContext.broadcast(trees)), f"page_id {page_id}, url string, score double")
     return scored.withColumn("blocked", F.coalesce(F.col("score") >= threshold, F.lit(False)))

@@ -54,7 +54,7 @@ def test_documents(spark):
     text = "Card 4111 1111 1111 1111, mail jane.doe@example.com, born 1980-05-17, call (555) 123-4567. Order x4111 stays, v1.2.3 too."
     rows = [(1, text), (2, "again 4111 1111 1111 1111"), (3, None), (4, ""), (None, text), (1, text), (5, "word " * 50_000 + "1980-05-17"), (6, "naïve 4111 1111 1111 1112 käse 12")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, kinds string")
-    out = p.pseudonymised(df).collect()
+    out = p.pseudonymised(df, KEY).collect()
     assert len(out) == len(rows)
     by = {r["doc_id"]: r for r in out}
     assert by[1]["kinds"] == "card:1,date:1,email:1,phone:1" and by[1]["n_replaced"] == 4
@@ -63,13 +63,13 @@ def test_documents(spark):
     assert by[3]["text"] is None and by[4]["text"] == "" and by[6]["text"] == rows[7][1] and by[6]["n_replaced"] == 0
     assert by[None]["text"] == by[1]["text"]
     assert by[5]["text"][:-10] == rows[6][1][:-10] and by[5]["text"][-10:] in by[1]["text"]
-    assert p.pseudonymised(df.where("false")).count() == 0
+    assert p.pseudonymised(df.where("false"), KEY).count() == 0
 
 
 def test_clean_texts_are_left_alone(spark):
     texts = ["Chapter 12, page 345.", "In 1999 there were 1234567 people.", "3.14159 and 10:30", "ratio 1/2/3", "ISBN 978-3-16-148410-0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r["text"] for r in p.pseudonymised(df).orderBy("doc_id").collect()] == texts
+    assert [r["text"] for r in p.pseudonymised(df, KEY).orderBy("doc_id").collect()] == texts
 
 
 @pytest.mark.parametrize("value, kept", [
@@ -101,3 +101,54 @@ def test_dates_before_a_time_and_short_years():
     days = [(datetime.date(1999, 1, 1) + datetime.timedelta(k)).strftime("%d.%m.%y") for k in range(800)]
     assert len({p.date(d, KEY) for d in days}) == 800
     assert own.replace("10.10.80.12")[1] == {"ip": 1} and own.replace("1.2.10 and 3.2.15")[1] == {}
+
+
+def test_key_is_the_callers(spark):
+    from corpuscle.llm.queries import pseudonym_key
+
+    df = spark.createDataFrame([(1, "4111 1111 1111 1111")], "doc_id long, text string")
+    one, again, other = (p.pseudonymised(df, k).first()["text"] for k in (KEY, KEY, b"other"))
+    assert one == again != other
+    with pytest.raises(TypeError):
+        p.pseudonymised(df)
+    assert pseudonym_key(spark) != pseudonym_key(spark)
+    spark.conf.set("spark.corpuscle.pseudonyms.key", "00ff")
+    assert pseudonym_key(spark) == b"\x00\xff"
+    spark.conf.unset("spark.corpuscle.pseudonyms.key")
+
+
+def test_overlaps_and_columns_that_clash(spark):
+    df = spark.createDataFrame([(None, "06.12.34.56.78@example.com", "a", 1)], "doc_id long, text string, __kinds string, __replaced int")
+    r = p.pseudonymise(df, KEY).first()
+    assert r["__kinds"] == "email:1" and r["__replaced"] == 1 and r["text"].endswith("@example.com") and r["doc_id"] is None
+    local = "a" * 64
+    assert p.Pseudonymiser(KEY).replace(f"{local}@example.com")[1] == {"email": 1} and p.Pseudonymiser(KEY).replace(f"{local}a@example.com")[1] == {}
+
+
+def plain_numbers(text):
+    """An independent detection of card numbers and IPv4 addresses that stand between blanks."""
+    found = {}
+    for word in text.replace(",", " ").split("  "):
+        word = word.strip()
+        d = [int(c) for c in word if c.isdigit()]
+        if re.fullmatch(r"\d{4}( \d{4}){3}", word) and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d[::-1])) % 10 == 0 and len(set(d)) > 1:
+            found["card"] = found.get("card", 0) + 1
+        elif re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", word) and all(int(x) < 256 for x in word.split(".")):
+            found["ip"] = found.get("ip", 0) + 1
+    return found
+
+
+def test_detection_against_plain_code():
+    import random
+
+    r = random.Random(7)
+    own = p.Pseudonymiser(KEY)
+    for _ in range(300):
+        values = []
+        for _ in range(r.randint(1, 5)):
+            body = "".join(r.choice("0123456789") for _ in range(15))
+            card = body + (str(p._luhn(body)) if r.random() < 0.6 else r.choice("0123456789"))
+            values.append(r.choice([" ".join(card[k : k + 4] for k in (0, 4, 8, 12)), ".".join(str(r.randint(0, 300)) for _ in range(4))]))
+        text = "  and  ".join(["x", *values, "y"])
+        new, counts = own.replace(text)
+        assert {k: counts.get(k, 0) for k in ("card", "ip") if counts.get(k)} == plain_numbers(text), text
