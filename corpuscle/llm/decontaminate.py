@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm.kernels import Words, blocks, texts
-from corpuscle.plans.runtime import ship
+from corpuscle.plans.runtime import cut, ship
 
 #: A match of so many words is removed, or one of this part of an item's words, FLOOR at least.
 LENGTH = 13
 COVERAGE = 0.6
 FLOOR = 6
+#: Words of test items in one broadcast. More items are screened in several passes, each with a part of them.
+BROADCAST_WORDS = 600_000
 #: Words of test items in one automaton (about 400 bytes each); more make several automata, which texts pass in turn.
 AUTOMATON_WORDS = 200_000
 
@@ -96,11 +98,12 @@ class Automaton:
 class Screen:
     """Automata over all test items, with the hashes of their windows of the least limit's length."""
 
-    def __init__(self, items: pa.Array, length: int = LENGTH, coverage: float = COVERAGE, floor: int = FLOOR):
+    def __init__(self, items: pa.Array, length: int = LENGTH, coverage: float = COVERAGE, floor: int = FLOOR, window: int | None = None):
+        """window: the least limit of all items, where these are a part of them."""
         w = Words(items)
         h = w.hashes()
         each = [(h[a:b].tolist(), limit(b - a, length, coverage, floor)) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()) if b - a >= floor]
-        self.window = min((need for _, need in each), default=0)
+        self.window = min((need for _, need in each), default=0) if window is None or not each else window
         g = w.grams(h, self.window) if self.window else h[:0]
         self.grams = np.unique(g[w.valid(self.window)]) if self.window else g
         self.automata, part, size = [], [], 0
@@ -141,67 +144,102 @@ class Screen:
         return gone, longest
 
 
-def _clean(screen):
+def _without(part: pa.Array, gone: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts without the words that are gone, and of each its spans and words that were removed."""
+    n = len(part)
+    spans, words = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not gone.any():
+        return part, spans, words
+    plain = Words(part, lower=False)  # as many words, but the bytes are those of the text itself
+    out = {}
+    for i in np.unique(plain.row[gone]).tolist():
+        lo, hi = int(plain.first[i]), int(plain.first[i + 1])
+        edge = np.diff(np.concatenate([[0], gone[lo:hi].astype(np.int8), [0]]))
+        begins, ends = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo - 1
+        spans[i], words[i] = len(begins), int(gone[lo:hi].sum())
+        at, pieces = int(plain.bounds[i]), []
+        for s, e in zip(plain.starts[begins].tolist(), plain.ends[ends].tolist()):
+            pieces.append(plain.body[at:s].tobytes())
+            at = e
+        pieces.append(plain.body[at : int(plain.bounds[i + 1])].tobytes())
+        out[i] = b"".join(pieces).decode()
+    values = part.to_pylist()
+    for i, t in out.items():
+        values[i] = t
+    return pa.array(values, pa.string()), spans, words
+
+
+_ADDED = ("__spans", "__words", "__longest")
+
+
+def _clean(screen, last: bool):
+    """A pass of texts through a part of the items. Passes before the last hand on what is __gone (bits of a text's words) and
+    the __longest match; the last removes the words of all passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = screen.value
         for batch in batches:
             column = texts(batch)
-            place = batch.schema.get_field_index("text")
+            names = [c for c in batch.schema.names if c not in ("__gone", "__longest")]
+            earlier = batch.schema.get_field_index("__gone")
             for a, b in blocks(column):
-                part = column.slice(a, b - a)
+                part, rest = column.slice(a, b - a), batch.slice(a, b - a)
                 w = Words(part)
                 gone, longest = items.removed(w)
-                n = len(part)
-                spans, words = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                text = part
-                if gone.any():
-                    plain = Words(part, lower=False)  # as many words, but the bytes are those of the text itself
-                    out = {}
-                    for i in np.unique(w.row[gone]).tolist():
-                        lo, hi = int(w.first[i]), int(w.first[i + 1])
-                        edge = np.diff(np.concatenate([[0], gone[lo:hi].astype(np.int8), [0]]))
-                        begins, ends = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo - 1
-                        spans[i], words[i] = len(begins), int(gone[lo:hi].sum())
-                        at, pieces = int(plain.bounds[i]), []
-                        for s, e in zip(plain.starts[begins].tolist(), plain.ends[ends].tolist()):
-                            pieces.append(plain.body[at:s].tobytes())
-                            at = e
-                        pieces.append(plain.body[at : int(plain.bounds[i + 1])].tobytes())
-                        out[i] = b"".join(pieces).decode()
-                    values = part.to_pylist()
-                    for i, t in out.items():
-                        values[i] = t
-                    text = pa.array(values, pa.string())
-                rest = batch.slice(a, b - a)
-                arrays = [text if k == place else rest.column(k) for k in range(rest.num_columns)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans), pa.array(words), pa.array(longest)], names=[*rest.schema.names, "__spans", "__words", "__longest"])
+                if earlier >= 0:
+                    longest = np.maximum(longest, rest.column(rest.schema.get_field_index("__longest")).to_numpy())
+                    for i, bits in enumerate(rest.column(earlier).to_pylist()):
+                        if bits:
+                            lo, hi = int(w.first[i]), int(w.first[i + 1])
+                            gone[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+                columns = {c: rest.column(rest.schema.get_field_index(c)) for c in names}
+                if last:
+                    columns["text"], spans, words = _without(part, gone)
+                    columns |= {"__spans": pa.array(spans), "__words": pa.array(words)}
+                else:
+                    rows = [gone[lo:hi] for lo, hi in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
+                    columns["__gone"] = pa.array([np.packbits(x).tobytes() if x.any() else None for x in rows], pa.binary())
+                columns["__longest"] = pa.array(longest)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def screen_of(spark: SparkSession, items: DataFrame, text: str = "text", **limits):
-    """The automata, broadcast. Test items are a closed set, whose size doesn't follow the corpus; it is some 400 bytes a word."""
-    column = pa.array([r[0] for r in items.select(F.col(text).cast("string")).where(F.col(text).isNotNull()).distinct().toLocalIterator()], pa.string())
-    return spark.sparkContext.broadcast(Screen(column, **limits))
+def _screens(spark: SparkSession, items: DataFrame, text: str, broadcast_words: int, **limits) -> Iterator:
+    """Automata over all items, broadcast; parts of them by hash, where they have more words than one broadcast may hold (some 400
+    bytes each). A part is made when it is asked for."""
+    distinct = items.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    sized = distinct.select("t", F.regexp_count("t", F.lit("[A-Za-z0-9\\x{80}-\\x{10FFFF}]+")).alias("n")).where(F.col("n") >= limits.get("floor", FLOOR))
+    words, least = sized.agg(F.sum("n"), F.min("n")).first()
+    parts = max(1, -(-(words or 0) // broadcast_words))
+    window = limit(least, **limits) if least else None
+    for k in range(parts):
+        own = sized.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k) if parts > 1 else sized
+        yield spark.sparkContext.broadcast(Screen(pa.array([r["t"] for r in own.select("t").toLocalIterator()], pa.string()), window=window, **limits)), k + 1 == parts
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **limits) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_WORDS, **limits) -> DataFrame:
     """All rows and columns of docs (with text: STRING), text without the words that match items, and three counts.
 
     __spans removed, the __words in them, and the __longest match in words (0 if it is shorter than any limit). Text is
     removed from the first letter of a span to the last; what is between words elsewhere stays. A match counts within
     one item; words are compared in lower case, without what is between them. An item of fewer than floor words never
-    matches; null and repeated items don't matter. A null text stays null; empty texts and tables are fine. Columns of docs
-    that are called __spans, __words or __longest are replaced.
+    matches; null and repeated items don't matter. A null text stays null; empty texts and tables, repeated rows and null ids are
+    fine. Columns of docs that are called __spans, __words, __longest or __gone are replaced or dropped.
+
+    Items are counted first: up to broadcast_words words, they are one broadcast and texts pass once, in one stage. More are
+    parted by hash, and texts pass each part in turn as they are; what any of them marks is removed by the last.
     """
-    spark = ship(docs.sparkSession)
-    docs = docs.drop("__spans", "__words", "__longest")
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import BinaryType, LongType, StructType
 
-    schema = StructType([*docs.schema.fields])
-    for name in ("__spans", "__words", "__longest"):
-        schema = schema.add(name, LongType())
-    return docs.mapInArrow(_clean(screen_of(spark, items, text, **limits)), schema)
+    spark = ship(docs.sparkSession)
+    docs = docs.drop(*_ADDED, "__gone")
+    plain = StructType([*docs.schema.fields])
+    for screen, last in _screens(spark, items, text, broadcast_words, **limits):
+        if last:
+            return docs.mapInArrow(_clean(screen, True), StructType([*plain.fields]).add("__spans", LongType()).add("__words", LongType()).add("__longest", LongType()))
+        # Cut, so that no task holds the automata of two parts.
+        docs = cut(docs.mapInArrow(_clean(screen, False), StructType([*plain.fields]).add("__gone", BinaryType()).add("__longest", LongType())))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.plans.runtime import cut, ship
@@ -328,8 +328,9 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("best"))
 
 
-def audit(vectors: DataFrame, model, dim: int, k: int, candidates: int, recall: float, parts: int) -> tuple[int, int]:
-    """(probes, candidates) with which AUDITED queries, those of the least hashes of vec_id, find recall of their k nearest."""
+def audit(vectors: DataFrame, points: DataFrame, model, dim: int, k: int, candidates: int, recall: float, parts: int) -> tuple[int, int]:
+    """(probes, candidates) with which AUDITED queries, those of the least hashes of vec_id, find recall of their k nearest among
+    all vectors; points are the vectors in their lists."""
     sc = vectors.sparkSession.sparkContext
     q, _ = model.value
     asked = cut(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDITED).coalesce(1))
@@ -342,7 +343,6 @@ def audit(vectors: DataFrame, model, dim: int, k: int, candidates: int, recall:
     ranks = np.sort([order[r["q"], b["list"]] for r in rows for b in r["best"]])
     probes = int(ranks[min(len(ranks) - 1, int(np.ceil((recall + MARGIN) * len(ranks))))]) + 1
     wanted = {int(own[r["q"]]): {b["id"] for b in r["best"]} for r in rows}
-    points = vectors.mapInArrow(_points(model, dim), _PLACED)
     while True:
         placed = points.unionByName(asked.mapInArrow(_queries(model, dim, probes), _PLACED))
         found = _best(_searched(placed, model, dim, k, candidates, parts), k).collect()
@@ -357,8 +357,10 @@ def _searched(placed: DataFrame, model, dim: int, k: int, candidates: int, parts
     return rows.mapInArrow(_search(model, dim, k, candidates), "vec_id long, neighbour_id long, distance double")
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, probes: int | None = None, candidates: int = CANDIDATES, recall: float = RECALL) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of each row of (vec_id, embedding), Euclidean.
+def neighbours(vectors: DataFrame, queries: Column | None = None, k: int = NEIGHBOURS, probes: int | None = None, candidates: int = CANDIDATES, recall: float = RECALL) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of each query, Euclidean.
+
+    vectors (vec_id, embedding) are all indexed and searched; queries is a condition on vec_id, by default all rows are queries.
 
     probes is the number of lists that a query goes to; without it an audit finds how many, and how many candidates, give recall.
     Ties go to the lesser neighbour_id; equal vectors are neighbours at distance 0. A row without vec_id, whose embedding is null or
@@ -378,8 +380,11 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, probes: int | None = Non
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_POINTS))
     parts = min(parts, len(quantiser.coarse))
     model = spark.sparkContext.broadcast((quantiser, grouped(quantiser.coarse, parts)))
+    # Each vector in its list, by the index: made once, for the rounds of the audit and for the search.
+    points = cut(sound.mapInArrow(_points(model, dim), _PLACED))
     if probes is None:
-        probes, candidates = audit(sound, model, dim, k, candidates, recall, parts)
-    placed = sound.mapInArrow(_points(model, dim), _PLACED).unionByName(sound.mapInArrow(_queries(model, dim, probes), _PLACED))
+        probes, candidates = audit(sound, points, model, dim, k, candidates, recall, parts)
+    asked = sound if queries is None else sound.where(queries)
+    placed = points.unionByName(asked.mapInArrow(_queries(model, dim, probes), _PLACED))
     best = _best(_searched(placed, model, dim, k, candidates, parts), k)
     return best.select("vec_id", F.posexplode("best").alias("p", "b")).select("vec_id", (F.col("p") + 1).alias("rank"), "b.neighbour_id", "b.distance")

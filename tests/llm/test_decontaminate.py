@@ -72,3 +72,18 @@ def test_documents(spark):
         assert (out[i]["__words"], out[i]["__longest"]) == (sum(gone), longest)
     assert d.decontaminate(df.where("false"), items).count() == 0
     assert [r["__words"] for r in d.decontaminate(df.drop("__words"), items.where("false")).collect()] == [0] * len(rows)
+
+
+def test_items_of_several_broadcasts(spark):
+    r = np.random.default_rng(3)
+    limits = {"length": 5, "coverage": 0.5, "floor": 3}
+    items = [" ".join(r.choice(list("abcdef"), int(r.integers(1, 14)))) for _ in range(12)]
+    texts = [" ".join(r.choice(list("abcdef"), int(r.integers(0, 60)))) for _ in range(30)] + [None, "", items[0] + " x " + items[1]]
+    docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, __gone binary")
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    one, several = (sorted(map(tuple, d.decontaminate(docs, table, broadcast_words=n, **limits).collect())) for n in (10**6, 20))
+    assert one == several and sum(x[3] for x in one) > 0
+    for (i, text, _, removed, longest), t in zip(one, texts):
+        gone, most = plain(t, items, **limits)
+        assert (removed, longest) == (sum(gone), most)
+        assert words(text) == [w for w, g in zip(words(t), gone) if not g]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.llm import ivfpq
 
@@ -63,3 +64,13 @@ def test_odd_rows(spark):
 def test_too_few(spark, rows):
     df = ivfpq.neighbours(spark.createDataFrame(rows, SCHEMA))
     assert df.columns == ["vec_id", "rank", "neighbour_id", "distance"] and df.count() == 0
+
+
+def test_queries_are_a_part_and_all_rows_are_searched(spark):
+    x = np.random.default_rng(6).normal(size=(400, 8))
+    expected, d = brute(x, 10)
+    got = found(ivfpq.neighbours(table(spark, x), F.col("vec_id") % 20 == 0))
+    assert sorted(got) == list(range(0, 400, 20))
+    assert sum(len({n for _, n, _ in got[i]} & set(expected[i])) for i in got) >= 0.9 * 10 * len(got)
+    assert {n % 20 for rows in got.values() for _, n, _ in rows} > {0}
+    assert all(abs(dist - d[i, n]) < 1e-5 for i, rows in got.items() for _, n, dist in rows)

@@ -76,3 +76,37 @@ def test_stages(spark, data):
         got[(r[0], r[1], r[3])] = got.get((r[0], r[1], r[3]), 0) + 1
     assert got == copies
     assert held(corpus_pipeline.run(spark, folder)) == mixed
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_odd_rows_of_each_stage(spark, data, stage):
+    folder, _ = data
+    text = "word one two three four five six seven eight nine ten.\nAnd more words of plain prose follow here.\n" * 3
+    rows = [(1, text), (1, text), (None, text + "a null id"), (2, None), (3, ""), (4, "x " * 60_000), (5, text.upper()), (5, "zz " * 40)]
+    odd = [(i, t, None if k % 2 else "en", None if k % 3 == 0 else "src1", None if k == 6 else len(t or ""), "c", "d", 7) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(odd, DOCUMENTS + ", __quality string, __source string, copy int")
+    out = stage(spark, docs, folder)
+    expected = ["doc_id", "text", "lang", "source", "n_chars"] + (["copy"] if stage is corpus_pipeline.STAGES[-1][1] else [])
+    assert out.columns == expected
+    found = out.collect()
+    ids = [r["doc_id"] for r in found]
+    name = stage.__name__
+    if name == "quality":
+        assert 2 not in ids and 3 not in ids and ids.count(1) in (0, 2)
+    elif name == "near_duplicates":
+        assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4] and ids.count(None) == 1  # 5 has a text of 1's, in capitals
+    elif name in ("decontamination", "secret_scan"):
+        assert sorted(map(str, ids)) == sorted(str(i) for i, _ in rows) and [r["text"] for r in found if r["doc_id"] in (2, 3)] in ([None, ""], ["", None])
+    empty = stage(spark, docs.where("false"), folder)
+    assert empty.columns == expected and empty.count() == 0
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from corpuscle.plans import runtime
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda _: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
