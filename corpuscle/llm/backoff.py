@@ -250,13 +250,16 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, stable: bool = False)
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_batches, _BATCH)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if stable:
-        packed = packed.repartition("batch")  # one exchange, that all that follows reads
         words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WORD
+        # One exchange, that all that follows reads; a few batches to a task, however large the corpus is.
+        packed = packed.repartition(max(least, -(-words // BATCH_WORDS)), "batch")
     else:
         packed = cut(packed)
         words = packed.agg(F.sum("n_words")).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PARTITION_WORDS))
+        packed = packed.repartition(max(least, -(-words // BATCH_WORDS)), "batch")
+    partitions = max(least, -(-words // PARTITION_WORDS))
     requests = packed.mapInArrow(_requests(partitions), "partition int, batch long, n_gram int, hashes binary, counts binary, n long")
     answers = requests.repartition(partitions, "partition").sortWithinPartitions("partition").mapInArrow(_totals, "batch long, n_gram int, partition int, totals binary, n long")
     answers = answers.crossJoin(F.broadcast(packed.mapInArrow(_lengths, "n_words long").agg(F.sum("n_words").alias("corpus"))))  # one row
