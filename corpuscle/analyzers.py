@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import warnings
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuscle import validation
 from corpuscle.operators import dispersion, frequency, keyness, matrices, sequences
 from corpuscle.operators.tagger import Pretagged, Tagger
 from corpuscle.operators.tokens import finish, parse
@@ -15,8 +17,12 @@ from corpuscle.sources import text
 class Tokens:
     """A tokens table. kept() holds it in memory and on disk for the next questions; release() lets it go."""
 
+    #: Results that cached() keeps; the one longest unused goes first.
+    MOST = 128
+
     def __init__(self, table: DataFrame):
         self.table = table
+        self._results: OrderedDict[tuple, DataFrame] = OrderedDict()
 
     @classmethod
     def from_tagged(cls, tagged: DataFrame) -> "Tokens":
@@ -28,9 +34,27 @@ class Tokens:
         return self
 
     def release(self) -> "Tokens":
+        """Lets go of what kept() and cached() hold."""
         self.table = self.table.unpersist()
+        for result in self._results.values():
+            result.unpersist()
+        self._results.clear()
         return self
 
+    def cached(self, operator: str, *args, **how) -> DataFrame:
+        """The result of one of the methods below that give one table, held for the next call with the same parameters."""
+        key = (operator, args, tuple(sorted(how.items())))
+        if key not in self._results:
+            self._results[key] = getattr(self, operator)(*args, **how).persist()
+            if len(self._results) > self.MOST:
+                self._results.popitem(last=False)[1].unpersist()
+        self._results.move_to_end(key)
+        return self._results[key]
+
+    def why_empty(self, operator: str, result: DataFrame) -> list[str]:
+        """What to try if result, of ngrams, clusters, kwic, collocations or keyness, has no rows; nothing if it has."""
+        return validation.why_empty(operator) if result.isEmpty() else []
+
     def frequencies(self, count_by: str = "pos", **bounds):
         return frequency.frequency_table(self.table, count_by, **bounds)
 

@@ -13,29 +13,40 @@ from pyspark.sql.types import ArrayType, StringType
 from corpuscle.config import SETTINGS
 from corpuscle.plans.runtime import ship
 
-#: A sentence's end: a stop after a lower-case word, then white space and a capital, digit or quote.
-SENTENCE = re.compile(r"(?<=[a-z0-9)\"'])[.!?]+[\"')]*\s+(?=[A-Z0-9\"'(])")
+#: White space that ends a sentence: after . ? or !, but not after initials (e.g.) or a short form with a capital (Mr.).
+SENTENCE = re.compile(r"(?<=[.?!])(?<!\w\.\w.)(?<![A-Z][a-z]\.)\s")
+
+
+def _cuts(text: str, marks: list[int], pattern: re.Pattern, shift: int) -> list[int] | None:
+    """For each mark, where the first match in what follows it begins, and shift on; None if one of them finds none.
+
+    What is before a mark isn't looked at: a sentence that ends just there isn't seen, nor is a short form cut in two.
+    """
+    found = []
+    for k, m in enumerate(marks):
+        # Up to the next mark there is a match in most texts; only where there is none, the rest is copied.
+        stop = marks[k + 1] if k + 1 < len(marks) else len(text)
+        match = pattern.search(text[m:stop]) or pattern.search(text[m:])
+        if match is None:
+            return None
+        found.append(m + match.start() + shift)
+    return found
 
 
 def split_text(text: str, n: float) -> list[str]:
-    """n parts of about equal length: cut after sentences if each cut finds one, else at spaces, else anywhere."""
-    if n <= 0 or not text:
+    """n parts of about equal length: each mark goes to the next sentence's end, else all go to the next space, else they stay.
+
+    White space at the end of a sentence begins the next part. A part is empty where two marks go to one place.
+    """
+    if n <= 0:
         return []
     if n <= 1:
         return [text]
-    n = int(n)
-    cuts = [math.ceil(i * len(text) / n) for i in range(1, n)]
-    ends = []
-    for c in cuts:
-        m = SENTENCE.search(text, c)
-        if m is None:
-            break
-        ends.append(m.end())
-    if len(ends) < len(cuts) or len(set(ends)) < len(ends) or ends[-1] >= len(text):
-        ends = [text.find(" ", c) for c in cuts]
-        if min(ends) < 0 or len(set(ends)) < len(ends):
-            ends = cuts
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+    marks = [math.ceil(k / n * len(text)) for k in range(1, int(n))]
+    at = _cuts(text, marks, SENTENCE, 0) if int(n) == n else None
+    if at is None:
+        at = _cuts(text, marks, re.compile(" "), 0) or marks
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -173,13 +173,14 @@ run AS (SELECT doc_id, raw, token, concat({pre}) AS pre, concat({post}) AS post
 SELECT doc_id AS "Doc ID", pre AS "Pre-Node", raw AS "Node", post AS "Post-Node" FROM run WHERE {hit}"""
 
 
-def collocations(node: str, statistic: str, layer: str, tag: str | None = None, before: int = 4, after: int = 4) -> str:
+def collocations(node: str, statistic: str, layer: str, tag: str | None = None, before: int = 4, after: int = 4, retagged: bool = False) -> str:
     t = f" AND starts_with(tag, '{tag}')" if tag else ""
     near = ", ".join(f"{{'t': {f}(token, {k}) OVER o, 'g': {f}(tag, {k}) OVER o}}" for f, n in (("lag", before), ("lead", after)) for k in range(1, n + 1))
     o, w = '"Freq Span"::DOUBLE / total', '("Freq Total"::DOUBLE / total) * (node::DOUBLE / total)'
     pmi = f"(log2({o}) - log2({w}))"
     mi = {"pmi": pmi, "npmi": f"{pmi} / -log2({o})", "pmi2": f"{pmi} + log2({o})", "pmi3": f"{pmi} + 2 * log2({o})"}[statistic]
-    return f"""WITH {tokens_cte()}, {groups_cte(layer)},
+    other = "CASE WHEN lower(rtrim(token)) = 'that' AND i % 2 = 0 AND pos_tag = 'CST' THEN 'DD1' ELSE pos_tag END" if retagged else "pos_tag"
+    return f"""WITH {tokens_cte()}, retagged AS (SELECT * REPLACE ({other} AS pos_tag) FROM tokens), {groups_cte(layer, source='retagged')},
 totals AS (SELECT token AS "Token", tag AS "Tag", count(*) AS "Freq Total" FROM g WHERE {counted(layer, 'token', 'tag')} GROUP BY ALL),
 sums AS (SELECT sum("Freq Total") AS total, (SELECT count(*) FROM g WHERE token = '{node}'{t} AND {counted(layer, 'token', 'tag')}) AS node FROM totals),
 near AS (SELECT token, tag, [{near}] AS x FROM g WHERE regexp_matches(token, '[a-z]') WINDOW o AS (ORDER BY doc_id, place)),
@@ -217,3 +218,19 @@ def tokens() -> str:
 def ruler(index: int, layer: str) -> str:
     return f"""WITH {tokens_cte()}, d AS (SELECT DISTINCT doc_id FROM tokens ORDER BY doc_id LIMIT 1 OFFSET {index})
 SELECT token, {layer}_tag AS tag, {layer}_id AS tag_id FROM tokens JOIN d USING (doc_id)"""
+
+
+def chunks() -> str:
+    return f"SELECT doc_id::VARCHAR AS doc_id, 0 AS chunk_id, trim(x) || ' ' AS text FROM (SELECT doc_id, {clean_sql('text')} AS x FROM documents) WHERE length(x) > 0"
+
+
+def observed() -> str:
+    return f"""WITH {tokens_cte()}, {tags_ctes('pos')} SELECT doc_id, "Tag" AS tag, n::BIGINT AS n FROM tt_counts"""
+
+
+def coo_docs() -> str:
+    return f"""WITH {tokens_cte()}, {tags_ctes('pos')} SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS "row", doc_id FROM (SELECT DISTINCT doc_id FROM tt_counts)"""
+
+
+def coo_vocabulary() -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{t}')" for k, t in enumerate(POS_TAGS)) + ") v(col, tag)"

@@ -13,7 +13,7 @@ from corpuscle.functions.clean import clean_corpus, split_its
 from corpuscle.operators.dispersion import dispersions_table
 from corpuscle.operators.frequency import frequency_table, tags_dtm, tags_table
 from corpuscle.operators.keyness import keyness_table
-from corpuscle.operators.matrices import dtm_simplify, dtm_to_coo, dtm_weight, freq_simplify, tags_simplify
+from corpuscle.operators.matrices import dtm_simplify, dtm_to_coo, dtm_weight, freq_simplify, long_form, tags_simplify
 from corpuscle.operators.sequences import clusters_by_tag, clusters_by_token, coll_table, kwic_center_node, ngrams, tag_ruler
 from corpuscle.operators.tagger import DS_TAGS, POS_TAGS
 from corpuscle.operators.tokens import parse
@@ -55,7 +55,23 @@ def _over(operator: Callable[..., DataFrame], *args, **how) -> Query:
 
 _add("clean_text", lambda s, d: clean_corpus(_corpus(s, d)), sql.cleaned)
 _add("split_its", lambda s, d: _corpus(s, d).withColumn("text", split_its(F.col("text"))), lambda: "SELECT doc_id::VARCHAR AS doc_id, regexp_replace(text, '(?i)\\b(it)(s)\\b', '\\1 \\2', 'g') AS text FROM documents")
-_add("chunks", lambda s, d: chunked(clean_corpus(_corpus(s, d)), 2000))
+_add("chunks", lambda s, d: chunked(clean_corpus(_corpus(s, d))), sql.chunks)  # the SQL has texts of one chunk, as all of the test tables are
+_add("chunks_2000", lambda s, d: chunked(clean_corpus(_corpus(s, d)), 2000))
+_BOUNDS = {"af_min": 5, "af_max": 5000, "rf_max": 20000.5, "range_min": 0.55}
+_add("frequency_bounds", _over(frequency_table, "pos", **_BOUNDS), lambda: f'SELECT * FROM ({sql.frequency("pos")}) WHERE "AF" BETWEEN 5 AND 5000 AND "RF" <= 20000.5 AND "Range" >= 0.55')
+
+
+def _both(make: Callable[..., tuple[DataFrame, DataFrame]]) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        pos, ds = make(_tokens(spark, d), "both")
+        return _rounded(pos.withColumn("layer", F.lit("pos")).unionByName(ds.withColumn("layer", F.lit("ds"))))
+
+    return query
+
+
+_add("frequency_both", _both(frequency_table), lambda: f"SELECT *, 'pos' AS layer FROM ({sql.frequency('pos')}) UNION ALL SELECT *, 'ds' FROM ({sql.frequency('ds')})")
+_add("tags_both", _both(tags_table), lambda: f"SELECT *, 'pos' AS layer FROM ({sql.tags('pos')}) UNION ALL SELECT *, 'ds' FROM ({sql.tags('ds')})")
+_add("dtm_observed", lambda s, d: long_form(tags_dtm(_tokens(s, d), "pos")).where("n > 0").select("doc_id", "tag", F.col("n").cast("long").alias("n")), sql.observed)
 _add("tokens_table", lambda s, d: parse(_corpus(s, d)).drop("tok_idx"), sql.tokens)
 for _layer, _tags in (("pos", POS_TAGS), ("ds", DS_TAGS)):
     _add(f"frequency_{_layer}", _over(frequency_table, _layer), lambda layer=_layer: sql.frequency(layer))
@@ -75,12 +91,21 @@ for _name, _args, _hit in (
     ("case", ("That", False), f"{_PLAIN} = 'That'"),
     ("starts", ("tha", True, "starts_with"), "starts_with(token, 'tha')"),
     ("ends", ("ther", True, "ends_with"), "suffix(token, 'ther')"),
-    ("contains", ("ing.on", True, "contains"), "regexp_matches(token, 'ing.on')"),
+    ("contains", ("th.*ng", True, "contains"), "regexp_matches(token, 'th.*ng')"),
 ):
     _add(f"kwic_{_name}", _over(kwic_center_node, *_args), lambda hit=_hit: sql.kwic(hit))
 for _stat in ("pmi", "npmi", "pmi2", "pmi3"):
     _add(f"coll_{_stat}", _over(coll_table, "that", statistic=_stat), lambda stat=_stat: sql.collocations("that", stat, "pos"))
-_add("coll_node_tag", _over(coll_table, "that", node_tag="CS"), lambda: sql.collocations("that", "npmi", "pos", "CS"))
+
+
+def _node_tag(spark: SparkSession, d: str) -> DataFrame:
+    """The rules give a word one tag: each other that is retagged, for the node's tag to leave some out."""
+    that = (F.lower(F.rtrim("token")) == "that") & (F.col("tok_idx") % 2 == 0) & (F.col("pos_tag") == "CST")
+    tokens = _tokens(spark, d).withColumn("pos_tag", F.when(that, "DD1").otherwise(F.col("pos_tag")))
+    return _rounded(coll_table(tokens, "that", node_tag="CS"))
+
+
+_add("coll_node_tag", _node_tag, lambda: sql.collocations("that", "npmi", "pos", "CS", retagged=True))
 _add("coll_ds", _over(coll_table, "and", 2, 3, "npmi", "ds"), lambda: sql.collocations("and", "npmi", "ds", before=2, after=3))
 
 
@@ -106,6 +131,8 @@ _add("dtm_simplify", lambda s, d: dtm_simplify(tags_dtm(_tokens(s, d), "pos", PO
 _add("freq_simplify", lambda s, d: _rounded(freq_simplify(frequency_table(_tokens(s, d)))), sql.freq_simplified)
 _add("tags_simplify", lambda s, d: _rounded(tags_simplify(tags_dtm(_tokens(s, d), "pos", POS_TAGS))), sql.tags_simplified)
 _add("dtm_coo", lambda s, d: dtm_to_coo(tags_dtm(_tokens(s, d), "pos", POS_TAGS))[0], sql.coo)
+_add("dtm_coo_docs", lambda s, d: dtm_to_coo(tags_dtm(_tokens(s, d), "pos", POS_TAGS))[1], sql.coo_docs)
+_add("dtm_coo_vocabulary", lambda s, d: dtm_to_coo(tags_dtm(_tokens(s, d), "pos", POS_TAGS))[2], sql.coo_vocabulary)
 _add("tag_ruler", lambda s, d: tag_ruler(parse(_corpus(s, d)), 3, "pos"), lambda: sql.ruler(3, "pos"))
 _add("streamed_tags", lambda s, d: _rounded(streamed_tag_counts(s, f"{d}/documents.parquet")), lambda: "SELECT \"Tag\", \"AF\" FROM (" + sql.tags("pos") + ")")
 

@@ -29,37 +29,50 @@ def _decoded(files: DataFrame) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("doc_id"), F.regexp_replace(content, "^\\s+|\\s+$", "").alias("text"))
 
 
-def _unique(corpus: DataFrame) -> DataFrame:
-    twice = corpus.groupBy("doc_id").count().where("count > 1").limit(5).collect()
-    if twice:
-        raise DuplicateDocuments(f"files have the same name: {sorted(r['doc_id'] for r in twice)}")
-    return corpus
+def _known(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there, by the file system's own listing: no job."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            there.append(p)
+    return there
 
 
 def readtext(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A corpus of these files. Files that can't be read are empty texts, with a warning."""
+    """A corpus of these files, in no order. Files that aren't there, with a warning, or can't be read are empty texts.
+
+    All files are read in one scan, by the executors; a file that fails there is left out by it, and joined again by its name.
+    """
     check.text_files(paths)
-    good = []
-    for p in paths:
-        try:
-            spark.read.format("binaryFile").load(p).select("length").first()
-            good.append(p)
-        except Exception as e:  # the file system's own errors: which ones there are depends on it
-            warnings.warn(f"{p} can't be read: {str(e)[:200]}", check.CorpusWarning, stacklevel=2)
-    names = [(p.rsplit("/", 1)[-1], "") for p in paths if p not in good]
-    corpus = _decoded(spark.read.format("binaryFile").load(good)) if good else spark.createDataFrame([], "doc_id string, text string")
-    if names:
-        corpus = corpus.unionByName(spark.createDataFrame(names, "doc_id string, text string"))
-    return _unique(corpus).orderBy("doc_id")
+    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    if len(set(names)) < len(names):
+        raise DuplicateDocuments(f"files have the same name: {sorted({n for n in names if names.count(n) > 1})[:5]}")
+    there = _known(spark, paths)
+    for p in sorted({*paths} - {*there}):
+        warnings.warn(f"{p} can't be read", check.CorpusWarning, stacklevel=2)
+    expected = spark.createDataFrame([(n,) for n in names], "doc_id string")
+    if not there:
+        return expected.withColumn("text", F.lit(""))
+    files = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(there)
+    return expected.join(_decoded(files), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def corpus_from_folder(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """A corpus of the folder's text files, read by the executors; no file passes through the driver."""
+    """A corpus of the folder's text files, in no order, read by the executors; no file passes through the driver.
+
+    Names are checked ahead, in one job over the listing of files, without their contents.
+    """
     check.folder(directory)
     files = _binary(spark, directory, recursive)
-    if files.select("path").isEmpty():
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    n, twice = files.groupBy(name.alias("doc_id")).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max(F.when(F.col("n") > 1, F.col("doc_id")))).first()
+    if not n:
         raise SourceFailed(f"there are no text files in {directory!r}")
-    return _unique(_decoded(files)).orderBy("doc_id")
+    if twice is not None:
+        raise DuplicateDocuments(f"files have the same name: {twice}")
+    return _decoded(files)
 
 
 def corpus_from_table(table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -131,9 +131,18 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_text(" second “text” \n", encoding="utf-8")
     (tmp_path / "a.txt").write_bytes("caf\xe9".encode("latin-1"))
     (tmp_path / "no.md").write_text("x")
-    assert [tuple(r) for r in c.corpus_from_folder(spark, str(tmp_path)).collect()] == [("a.txt", "café"), ("b.txt", "second “text”")]
+    assert [tuple(r) for r in c.corpus_from_folder(spark, str(tmp_path)).orderBy("doc_id").collect()] == [("a.txt", "café"), ("b.txt", "second “text”")]
     paths = c.get_text_paths(spark, str(tmp_path))
     assert len(paths) == 2 and c.readtext(spark, paths).count() == 2
+    with pytest.warns(c.validation.CorpusWarning):
+        assert sorted(map(tuple, c.readtext(spark, [*paths, str(tmp_path / "gone.txt")]).collect())) == [("a.txt", "café"), ("b.txt", "second “text”"), ("gone.txt", "")]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "c.txt").write_text("third")
+    assert c.corpus_from_folder(spark, str(tmp_path), recursive=True).count() == 3 and c.corpus_from_folder(spark, str(tmp_path)).count() == 2
+    (tmp_path / "more" / "a.txt").write_text("again")
+    for twice in (lambda: c.corpus_from_folder(spark, str(tmp_path), recursive=True), lambda: c.readtext(spark, [*paths, str(tmp_path / "more" / "a.txt")])):
+        with pytest.raises(DuplicateDocuments):
+            twice()
     (tmp_path / "empty").mkdir()
     for bad in (str(tmp_path / "empty"), str(tmp_path / "none"), str(tmp_path / "a.txt")):
         with pytest.raises(SourceFailed):
@@ -146,6 +155,9 @@ def test_sources(spark, tmp_path):
 def test_classes(spark, tokens):
     t = c.Tokens(tokens).kept()
     assert t.frequencies().count() == 4 and t.clusters(node_word="cat").count() >= 1 and t.ruler("a").count() == 5 and t.ruler(1).count() == 3
+    assert t.cached("frequencies") is t.cached("frequencies") and t.cached("ngrams", 2) is not t.cached("ngrams", 3)
+    t.release()
+    assert t.why_empty("kwic", t.kwic("zebra")) and t.why_empty("kwic", t.kwic("cat")) == []
     assert t.keyness(t).count() == 0 and t.kwic("dog").count() == 1
     with pytest.raises(ValueError):
         t.clusters()
