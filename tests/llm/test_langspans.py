@@ -68,3 +68,47 @@ def test_odd_rows(spark):
     assert sum(s["words"] for s in by[5]["spans"]) == 100_000
     assert langspans.identify(df.where("false")).count() == 0
     assert langspans.identify(df.withColumn("lang", df.lang.substr(9, 1))).count() == len(rows)  # no labels
+
+
+def bucket(before, middle, after):
+    key = (before << 16 | middle << 8 | after) & 0xFFFFFFFF
+    return (key * 2654435761 & 0xFFFFFFFF) >> 16
+
+
+def trigrams(word):
+    data = [1, *word.encode(), 1]
+    return [bucket(*data[i : i + 3]) for i in range(len(data) - 2)]
+
+
+def test_training_and_scores_against_plain_code():
+    texts, labels = ["the house and the garden", "das Haus und der Garten", "la casa y el jardín", "the tree"], ["en", "de", "es", "en"]
+    tables = langspans.Tables.train(pa.array(texts), labels)
+    counts = {lang: {} for lang in set(labels)}
+    for t, lang in zip(texts, labels):
+        for w in t.lower().split():
+            for b in trigrams(w):
+                counts[lang][b] = counts[lang].get(b, 0) + 1
+    log = lambda lang, b: np.log((counts[lang].get(b, 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * langspans.BUCKETS))
+    text = "The garden und la Käse 12 Привет casa thehousegarden " + "the" * 40
+    w = Words(pa.array([text]))
+    got = langspans.scores(w, tables)
+    for k, word in enumerate(text.lower().split()):
+        script = langspans._scripts(Words(pa.array([word])))[0]
+        if script == langspans.LATIN:
+            each = {lang: sum(log(lang, b) for b in trigrams(word)) for lang in tables.languages}
+            best = max(each.values())
+            wanted = [-1e4] * langspans.LATIN + [max(each[lang] - best, -langspans.MOST) for lang in tables.languages]
+        elif script < 0:
+            wanted = [0] * len(tables.labels)
+        else:
+            wanted = [0 if j == script else -1e4 for j in range(len(tables.labels))]
+        assert np.allclose(got[k], wanted, atol=2e-3), word
+
+
+def test_ties_go_to_the_first_label_and_to_staying():
+    score = np.array([[0.0, 0, -1], [0, 0, 0], [-3, 0, 0], [0, 0, 0]])
+    assert langspans.viterbi(score, np.array([0, 4]), 3.0).tolist() == [1, 1, 1, 1]
+    assert langspans.viterbi(np.zeros((3, 4)), np.array([0, 3]), 1.0).tolist() == [0, 0, 0]
+    many = np.zeros((5, 300))
+    many[:, 250] = 1
+    assert langspans.viterbi(many, np.array([0, 5]), 1.0).tolist() == [250] * 5

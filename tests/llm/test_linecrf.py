@@ -82,3 +82,69 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["doc_id"]: r["keep"] for r in linecrf.classify(docs, none).collect()} == {1: True, 2: False, 3: False}
     assert linecrf.classify(docs.where("false"), none).count() == 0
+
+
+KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", ".,;:", "!?", "|", "#$%&*+/<=>@[\\]^_`{}~"]
+
+
+def plain_own(text):
+    """A line's own features by loops over its bytes and words."""
+    out, seen = [], set()
+    for line in (text or "").split("\n"):
+        data = line.encode()
+        counts = [sum(chr(b) in kind for b in data) for kind in KINDS] + [sum(b >= 128 for b in data)]
+        if len(data) == counts[3]:
+            continue
+        words, now = [], b""
+        for b in [*data, 32]:
+            if b >= 128 or chr(b).isalnum():
+                now += bytes([b])
+            elif now:
+                words, now = [*words, now], b""
+        key, n = tuple(words), max(len(words), 1)
+        repeated = bool(words) and key in seen
+        seen.add(key)
+        letters = counts[0] + counts[1] + counts[8]
+        out.append(
+            [c / len(data) for c in counts]
+            + [counts[1] / max(letters, 1), min(np.log1p(len(data)) / 8, 2), min(len(data) / n / 12, 3), float(repeated), sum(a == b for a, b in zip(words, words[1:])) / n, min((counts[5] + counts[6] + counts[7]) / n, 3), min(counts[4] / n, 2)]
+        )
+    return out
+
+
+def test_features_against_plain_code():
+    r = np.random.default_rng(9)
+    made = ["\n".join(" ".join(r.choice(["a", "B", "käse", "12", "#|!", "x.y", "", "Foo?", "\t"], int(r.integers(0, 9)))) for _ in range(int(r.integers(0, 7)))) for _ in range(60)]
+    strings = ["same line\nsame line\nother the the\n\n !? \nsame line", None, "", "one", "\n\n", *made]
+    lines = linecrf.Lines(pa.array(strings))
+    x = lines.features()
+    at = 0
+    for i, t in enumerate(strings):
+        own = np.array(plain_own(t)).reshape(-1, lines.width)
+        zero = np.zeros((1, lines.width))
+        n = len(own)
+        assert lines.row[at : at + n].tolist() == [i] * n
+        before, after = np.concatenate([zero, own])[:n], np.concatenate([own, zero])[1 : n + 1]
+        assert np.allclose(x[at : at + n], np.column_stack([own, own * own, before, after, np.ones(n)]), atol=1e-6), t
+        at += n
+    assert at == len(x)
+
+
+def test_training_climbs_the_likelihood_and_ties_are_kept():
+    good, bad = GOOD, BAD
+    strings, y = pa.array([good, bad] * 10), np.array([1, 0] * 10)
+    field = linecrf.LineField.train(strings, y)
+
+    def likelihood(weights, transition):
+        total = 0.0
+        for t, label in ((good, 1), (bad, 0)):
+            e = linecrf.Lines(pa.array([t])).features() @ weights
+            scores = [sum(e[i] * z[i] for i in range(len(e))) + sum(transition[a, b] for a, b in zip(z, z[1:])) for z in itertools.product((0, 1), repeat=len(e))]
+            own = sum(e) * label + transition[label, label] * (len(e) - 1)
+            total += own - np.logaddexp.reduce(scores)
+        return total
+
+    assert likelihood(field.weights, field.transition) > likelihood(np.zeros_like(field.weights), np.zeros((2, 2))) + 1
+    none = linecrf.LineField(np.zeros_like(field.weights), np.zeros((2, 2)))
+    quality, _, n = none.score(pa.array([good]))
+    assert quality[0] == linecrf.THRESHOLD and n[0] == good.count("\n") + 1  # a tie is kept
