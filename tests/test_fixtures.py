@@ -168,3 +168,18 @@ def test_chunks_against_plain_code(spark):
     got = chunked(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")).orderBy("doc_id", "chunk_id").collect()
     wanted = [(str(i), k, part.strip() + " ") for i, t in enumerate(texts) if t for k, part in enumerate(plain_split(t, math.ceil(len(t) / 500_000)))]
     assert [tuple(r) for r in got] == wanted and sum(r["doc_id"] == "0" for r in got) == 2
+
+
+def test_orders(tokens):
+    """Tables come in the order that they state."""
+    down = lambda rows, value, *keys: rows == sorted(rows, key=lambda r: (-r[value], *(r[k] for k in keys)))
+    for layer in ("pos", "ds"):
+        assert down(c.frequency_table(tokens, layer).collect(), "AF", "Token", "Tag") and down(c.tags_table(tokens, layer).collect(), "AF", "Tag")
+        assert down(c.dispersions_table(tokens, layer).collect(), "AF", "Token", "Tag")
+        assert down(c.ngrams(tokens, 2, 0, layer).collect(), "AF", "Token_1", "Token_2")
+    assert down(c.clusters_by_token(tokens, "t", 1, 2, "contains").collect(), "AF", "Token_1", "Token_2")
+    assert down(c.coll_table(tokens, "the", 2, 2).collect(), "MI", "Token", "Tag")
+    rows = [r[0] for r in c.kwic_center_node(tokens, "the").collect()]
+    assert rows == sorted(rows) and len(rows) == 3
+    target, reference = (c.frequency_table(tokens.where(F.col("doc_id") == d)) for d in ("d1", "d2"))
+    assert down(c.keyness_table(target, reference, threshold=1.1).collect(), "LL", "Token", "Tag")
