@@ -18,7 +18,8 @@ UNIT = 1_000_000
 SEED = 20240607
 #: Rows of documents in a range of doc_id, about.
 RANGE_ROWS = 20_000
-MOST_RANGES = 1024
+#: Ranges that are bounded by quantiles; where there are more rows, each is parted in equal steps of doc_id.
+QUANTILES = 256
 #: Target weights by source; a source that isn't named has OTHER. Weights count in proportion to one another.
 WEIGHTS = {"src0": 0.5, "src1": 2.0, "src2": 2.0, "src3": 1.5}
 OTHER = 1.0
@@ -56,11 +57,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     e = F.when((F.col("chars") > 0) & (F.col("w_all") > 0), F.floor(share * F.lit(float(UNIT)))).otherwise(F.lit(0)).cast("long")
     rows = [tuple(r) for r in totals.crossJoin(everything).select("__source", e, _offset(seed), "n").toLocalIterator()]  # one row a source
     per_source = spark.createDataFrame([r[:3] for r in rows], "__source string, __e long, __u long")
-    parts = min(MOST_RANGES, max(1, -(-sum(r[3] for r in rows) // range_rows)))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = F.array(*[F.lit(c) for c in sorted({int(c) for c in cuts})]).cast("array<bigint>")
+    parts = max(1, -(-sum(r[3] for r in rows) // range_rows))
+    levels, steps = min(parts, QUANTILES), -(-parts // QUANTILES)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    cuts = sorted({int(c) for c in docs.select(F.col("doc_id").cast("double").alias("d")).stat.approxQuantile("d", [k / levels for k in range(levels + 1)], 0.2 / levels)}) if parts > 1 else []
     # How many bounds are at or below the id: ranges rise with doc_id, wherever the bounds are, and nulls are in the first.
-    place = F.size(F.filter(bounds, lambda c: c <= F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))))
+    bounds = F.array(*[F.lit(c) for c in cuts[1:-1]]).cast("array<bigint>")
+    place = F.size(F.filter(bounds, lambda c: c <= id_)).cast("long")
+    if steps > 1 and len(cuts) > 1:
+        low = F.element_at(F.array(*[F.lit(float(c)) for c in cuts[:-1]]), place.cast("int") + 1)
+        wide_ = F.element_at(F.array(*[F.lit(float(b - a)) for a, b in zip(cuts, cuts[1:])]), place.cast("int") + 1)
+        # Equal steps rise with the id as well; what is beyond a bound is in the step next to it.
+        step = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(steps - 1.0), (id_.cast("double") - low) / wide_ * steps)))
+        place = place * steps + step
     wide = docs.withColumns({"__source": key, "__range": place})
     counts = wide.groupBy("__source", "__range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -37,8 +37,9 @@ def counted(df):
     return dict(out)
 
 
-@pytest.mark.parametrize("range_rows", [30, 20_000])
-def test_against_a_plain_loop(spark, range_rows):
+@pytest.mark.parametrize("range_rows, quantiles", [(30, 256), (20_000, 256), (2, 5), (30, 4)])
+def test_against_a_plain_loop(spark, monkeypatch, range_rows, quantiles):
+    monkeypatch.setattr(mixing, "QUANTILES", quantiles)
     r = np.random.default_rng(1)
     rows = [(int(i), f"t{i}", ["a", "b", "c", None][int(r.choice(4, p=[0.7, 0.2, 0.07, 0.03]))], int(r.integers(0, 500))) for i in r.permutation(700)]
     weights = {"a": 1.0, "b": 3.0, "zz": 9.0}
