@@ -84,6 +84,27 @@ def clean(text: Column) -> Column:
     return split_its(F.when(is_ascii(text), plain).otherwise(squish(_narrowed(squish(text)))))
 
 
+def clean_text(text: str) -> str:
+    """clean() in Python, for texts that go through it anyway; tests hold the two against each other."""
+    text = " ".join(text.split())
+    if not text.isascii():
+        for curly, straight in zip(CURLY, STRAIGHT):
+            text = text.replace(curly, straight)
+        text = " ".join(unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().split())
+    lower, parts, last = text.lower(), [], 0
+    at = lower.find("its")
+    while at >= 0:
+        if not (_in_word(lower[at - 1 : at]) or _in_word(lower[at + 3 : at + 4])):
+            parts.append(text[last : at + 2])
+            last = at + 2
+        at = lower.find("its", at + 3)
+    return " ".join([*parts, text[last:]]) if parts else text
+
+
+def _in_word(character: str) -> bool:
+    return character.isalnum() or character == "_"
+
+
 def clean_corpus(corpus: DataFrame) -> DataFrame:
     """corpus with clean texts: ASCII, single spaces, straight quotes, its apart."""
     return corpus.withColumn("text", clean(F.col("text")))

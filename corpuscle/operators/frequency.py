@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from corpuscle import validation as check
 from corpuscle.config import SETTINGS
 from corpuscle.operators.groups import is_word, strip, units
+from corpuscle.operators.tagger import TAGS
+from corpuscle.operators.texts import TOTAL, TagCounts, Texts, UnitSums
 from corpuscle.schema import LAYERS
 
 
-#: The tag of the rows that hold a document's own total.
-TOTAL = "\x00total"
-
-
 def unit_counts(tokens: DataFrame, layer: str, whole: bool = True, filtered: bool = True) -> DataFrame:
     """(doc_id, Token, Tag, n, size) of each document, and a row of it with the tag TOTAL; size is the number of its units.
 
@@ -29,25 +27,29 @@ def unit_counts(tokens: DataFrame, layer: str, whole: bool = True, filtered: boo
 
 
 def summarise(counts: DataFrame, keys: list[str], per: float) -> DataFrame:
-    """keys, AF, RF (of per) and Range (% of the documents) from counts (doc_id, keys, n), one row a document and key, and one
-    with the tag TOTAL.
+    """keys, AF, RF (of per) and Range (% of the documents) from counts (keys, n, docs), sums of some documents each, and of
+    each a row with the tag TOTAL.
 
     Totals are a row of the same sums. It is known by a sum too, not by its key: a filter of the key would be moved below the
     shuffle, and what is below would be done twice; so both sides of the join read the one shuffle.
     """
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("AF"), F.count("*").alias("docs"), F.max(F.col("Tag") == TOTAL).alias("all"))
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("AF"), F.sum("docs").alias("docs"), F.max(F.col("Tag") == TOTAL).alias("all"))
     total = sums.where(F.col("all")).select(F.col("AF").alias("total"), F.col("docs").alias("all_docs"))
     rows = sums.where(~F.coalesce("all", F.lit(False)))
     return rows.crossJoin(F.broadcast(total)).select(*keys, "AF", (F.col("AF") / F.col("total") * per).alias("RF"), (F.col("docs") / F.col("all_docs") * 100.0).alias("Range"))
 
 
-def frequency_table(tokens: DataFrame, count_by: str = "pos", af_min: int = 0, af_max: int | None = None, rf_min: float = 0.0, rf_max: float | None = None, range_min: float = 0.0, range_max: float | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+def frequency_table(tokens: DataFrame | Texts, count_by: str = "pos", af_min: int = 0, af_max: int | None = None, rf_min: float = 0.0, rf_max: float | None = None, range_min: float = 0.0, range_max: float | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
     """(Token, Tag, AF, RF per million, Range), by falling AF, then Token; both layers give two tables. Bounds are inclusive."""
     check.layer(count_by, both=True)
     check.tokens(tokens)
     if count_by == "both":
         return tuple(frequency_table(tokens, c, af_min, af_max, rf_min, rf_max, range_min, range_max) for c in ("pos", "ds"))
-    out = summarise(unit_counts(tokens, count_by), ["Token", "Tag"], SETTINGS.per)
+    if isinstance(tokens, Texts):
+        counts = tokens.read(lambda: UnitSums(count_by), "Token string, Tag string, n long, docs long")
+    else:
+        counts = unit_counts(tokens, count_by).withColumn("docs", F.lit(1))
+    out = summarise(counts, ["Token", "Tag"], SETTINGS.per)
     for column, low, high in (("AF", af_min, af_max), ("RF", rf_min, rf_max), ("Range", range_min, range_max)):
         if low:
             out = out.where(F.col(column) >= low)
@@ -63,17 +65,23 @@ def tag_counts(tokens: DataFrame, layer: str) -> DataFrame:
     return some.groupBy("doc_id", F.col(tag).alias("tag")).agg(F.count_distinct(id_).alias("n"))
 
 
-def tags_table(tokens: DataFrame, count_by: str = "pos") -> DataFrame | tuple[DataFrame, DataFrame]:
+def tags_table(tokens: DataFrame | Texts, count_by: str = "pos") -> DataFrame | tuple[DataFrame, DataFrame]:
     """(Tag, AF, RF in percent, Range), by falling AF, then Tag."""
     check.layer(count_by, both=True)
     check.tokens(tokens)
     if count_by == "both":
         return tags_table(tokens, "pos"), tags_table(tokens, "ds")
+    if isinstance(tokens, Texts):
+        return summarise(_tag_sums(tokens, count_by), ["Tag"], 100.0).orderBy(F.desc("AF"), "Tag")
     docs = tag_counts(tokens, count_by).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("tag").alias("Tag"), "n")).alias("cells"), F.sum("n").alias("n"))
-    counts = docs.select("doc_id", F.inline(F.concat("cells", F.array(F.struct(F.lit(TOTAL).alias("Tag"), "n")))))
+    counts = docs.select(F.lit(1).alias("docs"), F.inline(F.concat("cells", F.array(F.struct(F.lit(TOTAL).alias("Tag"), "n")))))
     return summarise(counts, ["Tag"], 100.0).orderBy(F.desc("AF"), "Tag")
 
 
+def _tag_sums(texts: Texts, layer: str) -> DataFrame:
+    return texts.read(lambda: TagCounts(layer, TAGS[layer], by_doc=False), "Tag string, n long, docs long")
+
+
 def wide(long: DataFrame, tags: list[str]) -> DataFrame:
     """The matrix with a column for each of tags, 0 where there is none."""
     return long.groupBy("doc_id").pivot("tag", tags).agg(F.sum("n")).fillna(0)
@@ -84,11 +92,15 @@ def observed_tags(long: DataFrame) -> list[str]:
     return [r["tag"] for r in long.groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").toLocalIterator()]
 
 
-def tags_dtm(tokens: DataFrame, count_by: str = "pos", tags: list[str] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+def tags_dtm(tokens: DataFrame | Texts, count_by: str = "pos", tags: list[str] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
     """A row for each document and a column for each tag; tags given ahead save the job that looks for them."""
     check.layer(count_by, both=True)
     check.tokens(tokens)
     if count_by == "both":
         return tags_dtm(tokens, "pos", tags), tags_dtm(tokens, "ds", tags)
+    if isinstance(tokens, Texts):
+        names = tags if tags is not None else observed_tags(_tag_sums(tokens, count_by).where(F.col("Tag") != TOTAL).withColumnRenamed("Tag", "tag"))
+        rows = tokens.read(lambda: TagCounts(count_by, names), ", ".join(["doc_id string", *(f"n{k} long" for k in range(len(names)))]))
+        return rows.toDF("doc_id", *names)
     long = tag_counts(tokens, count_by)
     return wide(long, tags if tags is not None else observed_tags(long))

@@ -16,6 +16,7 @@ from corpuscle.operators.keyness import keyness_table
 from corpuscle.operators.matrices import dtm_simplify, dtm_to_coo, dtm_weight, freq_simplify, long_form, tags_simplify
 from corpuscle.operators.sequences import clusters_by_tag, clusters_by_token, coll_table, kwic_center_node, ngrams, tag_ruler
 from corpuscle.operators.tagger import DS_TAGS, POS_TAGS
+from corpuscle.operators.texts import Texts, as_texts
 from corpuscle.operators.tokens import parse
 from corpuscle.plans.runtime import table
 from corpuscle.sources.text import corpus_from_table
@@ -31,9 +32,9 @@ def _corpus(spark: SparkSession, sf_dir: str, where: Column | None = None) -> Da
     return corpus_from_table(docs if where is None else docs.where(where))
 
 
-def _tokens(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    """Ids within documents do for all but the tokens table itself: units are known by document and id."""
-    return parse(_corpus(spark, sf_dir, where), global_ids=False)
+def _tokens(spark: SparkSession, sf_dir: str, where: Column | None = None) -> Texts:
+    """Texts do for all but the tokens table itself."""
+    return as_texts(_corpus(spark, sf_dir, where))
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -53,6 +54,10 @@ def _over(operator: Callable[..., DataFrame], *args, **how) -> Query:
     return lambda spark, d: _rounded(operator(_tokens(spark, d), *args, **how))
 
 
+def _over_rows(operator: Callable[..., DataFrame], *args, **how) -> Query:
+    return lambda spark, d: _rounded(operator(parse(_corpus(spark, d), global_ids=False), *args, **how))
+
+
 _add("clean_text", lambda s, d: clean_corpus(_corpus(s, d)), sql.cleaned)
 _add("split_its", lambda s, d: _corpus(s, d).withColumn("text", split_its(F.col("text"))), lambda: "SELECT doc_id::VARCHAR AS doc_id, regexp_replace(text, '(?i)\\b(it)(s)\\b', '\\1 \\2', 'g') AS text FROM documents")
 _add("chunks", lambda s, d: chunked(clean_corpus(_corpus(s, d))), sql.chunks)  # the SQL has texts of one chunk, as all of the test tables are
@@ -77,14 +82,14 @@ for _layer, _tags in (("pos", POS_TAGS), ("ds", DS_TAGS)):
     _add(f"frequency_{_layer}", _over(frequency_table, _layer), lambda layer=_layer: sql.frequency(layer))
     _add(f"tags_{_layer}", _over(tags_table, _layer), lambda layer=_layer: sql.tags(layer))
     _add(f"dtm_{_layer}", _over(tags_dtm, _layer, _tags), lambda layer=_layer: sql.dtm(layer))
-    _add(f"dispersions_{_layer}", _over(dispersions_table, _layer), lambda layer=_layer: sql.dispersions(layer))
-    _add(f"ngrams_2_{_layer}", _over(ngrams, 2, 10, _layer), lambda layer=_layer: sql.ngrams(2, layer))
+    _add(f"dispersions_{_layer}", _over_rows(dispersions_table, _layer), lambda layer=_layer: sql.dispersions(layer))
+    _add(f"ngrams_2_{_layer}", _over_rows(ngrams, 2, 10, _layer), lambda layer=_layer: sql.ngrams(2, layer))
 for _n in (3, 4, 5):
-    _add(f"ngrams_{_n}_pos", _over(ngrams, _n, 10, "pos"), lambda n=_n: sql.ngrams(n, "pos"))
+    _add(f"ngrams_{_n}_pos", _over_rows(ngrams, _n, 10, "pos"), lambda n=_n: sql.ngrams(n, "pos"))
 for _search, _node, _hit in (("fixed", "that", "token = 'that'"), ("starts_with", "tha", "starts_with(token, 'tha')"), ("ends_with", "ther", "suffix(token, 'ther')"), ("contains", "t.*ing$", "regexp_matches(token, 't.*ing$')")):
-    _add(f"clusters_token_{_search}", _over(clusters_by_token, _node, 2, 3, _search), lambda hit=_hit: sql.clusters(hit, 2, 3, "pos"))
-_add("clusters_tag_pos", _over(clusters_by_tag, "IO", 1, 3), lambda: sql.clusters("tag = 'IO'", 1, 3, "pos"))
-_add("clusters_tag_ds", _over(clusters_by_tag, "Future", 2, 2, "ds"), lambda: sql.clusters("tag = 'Future'", 2, 2, "ds"))
+    _add(f"clusters_token_{_search}", _over_rows(clusters_by_token, _node, 2, 3, _search), lambda hit=_hit: sql.clusters(hit, 2, 3, "pos"))
+_add("clusters_tag_pos", _over_rows(clusters_by_tag, "IO", 1, 3), lambda: sql.clusters("tag = 'IO'", 1, 3, "pos"))
+_add("clusters_tag_ds", _over_rows(clusters_by_tag, "Future", 2, 2, "ds"), lambda: sql.clusters("tag = 'Future'", 2, 2, "ds"))
 _PLAIN = "trim(raw)"
 for _name, _args, _hit in (
     ("fixed", ("that",), "token = 'that'"),
@@ -93,20 +98,20 @@ for _name, _args, _hit in (
     ("ends", ("ther", True, "ends_with"), "suffix(token, 'ther')"),
     ("contains", ("th.*ng", True, "contains"), "regexp_matches(token, 'th.*ng')"),
 ):
-    _add(f"kwic_{_name}", _over(kwic_center_node, *_args), lambda hit=_hit: sql.kwic(hit))
+    _add(f"kwic_{_name}", _over_rows(kwic_center_node, *_args), lambda hit=_hit: sql.kwic(hit))
 for _stat in ("pmi", "npmi", "pmi2", "pmi3"):
-    _add(f"coll_{_stat}", _over(coll_table, "that", statistic=_stat), lambda stat=_stat: sql.collocations("that", stat, "pos"))
+    _add(f"coll_{_stat}", _over_rows(coll_table, "that", statistic=_stat), lambda stat=_stat: sql.collocations("that", stat, "pos"))
 
 
 def _node_tag(spark: SparkSession, d: str) -> DataFrame:
     """The rules give a word one tag: each other that is retagged, for the node's tag to leave some out."""
     that = (F.lower(F.rtrim("token")) == "that") & (F.col("tok_idx") % 2 == 0) & (F.col("pos_tag") == "CST")
-    tokens = _tokens(spark, d).withColumn("pos_tag", F.when(that, "DD1").otherwise(F.col("pos_tag")))
+    tokens = parse(_corpus(spark, d), global_ids=False).withColumn("pos_tag", F.when(that, "DD1").otherwise(F.col("pos_tag")))
     return _rounded(coll_table(tokens, "that", node_tag="CS"))
 
 
 _add("coll_node_tag", _node_tag, lambda: sql.collocations("that", "npmi", "pos", "CS", retagged=True))
-_add("coll_ds", _over(coll_table, "and", 2, 3, "npmi", "ds"), lambda: sql.collocations("and", "npmi", "ds", before=2, after=3))
+_add("coll_ds", _over_rows(coll_table, "and", 2, 3, "npmi", "ds"), lambda: sql.collocations("and", "npmi", "ds", before=2, after=3))
 
 
 def _keyness(tags_only: bool = False, **how) -> Query:

@@ -48,8 +48,11 @@ def corpus(df: DataFrame, data: bool = True) -> DataFrame:
     return df
 
 
-def tokens(df: DataFrame) -> DataFrame:
-    return require(df, TOKENS, "tokens table")
+def tokens(df):
+    """A tokens table, or Texts in its place."""
+    from corpuscle.operators.texts import Texts
+
+    return df if isinstance(df, Texts) else require(df, TOKENS, "tokens table")
 
 
 def frequencies(df: DataFrame, tags_only: bool = False) -> DataFrame:
