@@ -18,6 +18,7 @@ NAMED = [
     "dtm_coo_docs", "dtm_ds", "dtm_simplify", "dtm_tfidf", "tags_ds", "tags_simplify", "dtm_coo", "dtm_coo_vocabulary", "dtm_observed", "dtm_pos", "dtm_prop", "dtm_scale", "tags_both", "tags_pos",
     "frequency_both", "frequency_bounds", "freq_simplify", "frequency_pos", "keyness_yates", "keyness_default", "keyness_swap", "frequency_ds", "keyness_tags",
     "dispersions_ds", "dispersions_pos",
+    "ngrams_4_pos", "ngrams_5_pos", "ngrams_3_pos", "ngrams_2_ds", "ngrams_2_pos",
 ]
 
 
