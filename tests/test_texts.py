@@ -19,6 +19,7 @@ NAMED = [
     "frequency_both", "frequency_bounds", "freq_simplify", "frequency_pos", "keyness_yates", "keyness_default", "keyness_swap", "frequency_ds", "keyness_tags",
     "dispersions_ds", "dispersions_pos",
     "ngrams_4_pos", "ngrams_5_pos", "ngrams_3_pos", "ngrams_2_ds", "ngrams_2_pos",
+    "clusters_token_ends_with", "clusters_token_contains", "clusters_tag_ds", "clusters_token_fixed", "clusters_token_starts_with", "clusters_tag_pos",
 ]
 
 
