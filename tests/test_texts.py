@@ -20,6 +20,7 @@ NAMED = [
     "dispersions_ds", "dispersions_pos",
     "ngrams_4_pos", "ngrams_5_pos", "ngrams_3_pos", "ngrams_2_ds", "ngrams_2_pos",
     "clusters_token_ends_with", "clusters_token_contains", "clusters_tag_ds", "clusters_token_fixed", "clusters_token_starts_with", "clusters_tag_pos",
+    "kwic_ends", "kwic_fixed", "kwic_case", "kwic_starts", "kwic_contains",
 ]
 
 
