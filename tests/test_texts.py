@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpuscle import registry
 from corpuscle.functions.clean import clean, clean_text
 from corpuscle.operators import texts as t
+from corpuscle.operators.dispersion import dispersions_table
+from corpuscle.operators.sequences import clusters_by_token, coll_table, kwic_center_node, ngrams
 from corpuscle.operators.tagger import POS_TAGS, RuleTagger
 from tests.test_queries import TEXTS
 
@@ -21,6 +23,7 @@ NAMED = [
     "ngrams_4_pos", "ngrams_5_pos", "ngrams_3_pos", "ngrams_2_ds", "ngrams_2_pos",
     "clusters_token_ends_with", "clusters_token_contains", "clusters_tag_ds", "clusters_token_fixed", "clusters_token_starts_with", "clusters_tag_pos",
     "kwic_ends", "kwic_fixed", "kwic_case", "kwic_starts", "kwic_contains",
+    "coll_pmi", "coll_npmi", "coll_pmi2", "coll_pmi3", "coll_ds",
 ]
 
 
@@ -101,6 +104,27 @@ def test_long_texts_ends():
         assert [(x["token"], x["tag"]) for x in r["head"]] == [("such as", "II"), ("it", "PPH1")] and [x["token"] for x in r["tail"]] == ["of", "the", "end"]
 
 
+def same(a, b):
+    a, b = (sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr) for df in (a, b))
+    return a == b and len(a) > 0
+
+
+@pytest.mark.parametrize(
+    "operator, args",
+    [(ngrams, (2, 3000)), (ngrams, (3, 0)), (clusters_by_token, ("(?i)TH.t", 2, 3, "contains")), (clusters_by_token, ("th[ae]", 1, 2, "contains", "ds")), (kwic_center_node, ("(?<=t)hat", True, "contains")), (kwic_center_node, ("That ", False, "ends_with")), (kwic_center_node, ("T.*t", False, "contains")), (coll_table, ("of", 0, 3)), (dispersions_table, ("ds",))],
+)
+def test_as_of_rows(corpus, operator, args):
+    texts = t.as_texts(corpus)
+    assert same(operator(texts, *args), operator(texts.tokens(), *args))
+    if operator in (ngrams, clusters_by_token, kwic_center_node, coll_table):
+        assert same(operator(texts, *args, within_doc=True), operator(texts.tokens(), *args, within_doc=True))
+
+
+def test_no_documents(spark):
+    none = t.as_texts(spark.createDataFrame([("a", None), ("b", "")], "doc_id string, text string"))
+    assert ngrams(none, 2).count() == 0 and kwic_center_node(none, "x").count() == 0 and dispersions_table(none).count() == 0 and coll_table(none, "x").count() == 0
+
+
 def test_buckets(spark, corpus):
     """No n-gram that is frequent enough is left out."""
     texts = t.as_texts(corpus)
